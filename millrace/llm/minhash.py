@@ -1,18 +1,19 @@
 """Near duplicates by circulant MinHash, banding and exact verification.
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two permutations make its whole
-signature: the first (a hash) gives each shingle a place among 2**20, the second is a table of ranks that
+signature: the first (a hash) gives each shingle a place among 2**18, the second is a table of ranks that
 is shifted round by one place for each coordinate; so coordinate k is the smallest rank at (place + k),
 and a shingle's part in all coordinates is one contiguous run of the table. 36 bands of 6 coordinates
 let a pair of similarity 0.85 slip by with probability 4e-8.
 
-Documents of equal sets are one node. In each bucket (band, hash) every node is first compared to the
-bucket's smallest node, on full sets; links join nodes to components. A bucket whose nodes are one
-component can't change any component. The others are compared further, until no pair of nodes of
-different components is left untested: small buckets in one go, large ones pivot by pivot, where a
-pair is left out only if its sizes or its distances to earlier pivots (Jaccard distance is a metric)
-rule out a link, and what several pivots leave is compared in full. So no bucket is capped, no
-group's pairs are all made, and no link between components is lost.
+Documents of equal sets are one node. In each bucket (band, hash) every node is first compared, on full
+sets, to the bucket's pivot: the node that shares most buckets with others, which is what copies of one
+original have in common. Links join nodes to components. A bucket whose nodes are one component can't
+change any component. Of the others each pair of nodes of different components is compared, unless sizes
+or distances to the pivot (Jaccard distance is a metric) rule out a link. Buckets that would make many
+pairs, such as those of a passage that many documents share, are searched by rare shingles instead: two
+sets of similarity 0.85 share one of the rarest 15 hundredths of each, in whatever order of rarity. So no
+bucket is capped, no group's pairs are all made, and no link between components is lost.
 
 Nulls: a null or empty text has an empty set, is linked with nothing and is its own component. A null id
 is never smaller than another; a component of null ids only has a null id, and its rows are kept.
@@ -28,18 +29,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bytehash import mix, shingles, word_hashes
 from millrace.llm.common import documents, materialize, small_batches, texts
 from millrace.llm.components import components
 
-BANDS, ROWS, PLACES = 36, 6, 2**20
+BANDS, ROWS, PLACES = 36, 6, 2**18
 #: A link has DENOMINATOR * shared >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Buckets of so few nodes are compared in one go; pivots that larger ones get before all the rest.
-SMALL, PIVOTS = 16, 6
+#: Buckets with more than so many open pairs a row are searched by rare shingles.
+CROWDED = 10
+#: Shingles of a set that is compared inside the join of such a search.
+ALONG = 512
 
 _table: np.ndarray | None = None
 
@@ -133,10 +136,10 @@ def classify(docs: DataFrame) -> DataFrame:
     single = full.select("node", "keys").join(nodes.where("members = 1").select("node"), "node", "left_semi")
     several = full.select("node", "keys").join(nodes.where("members > 1").select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("keys").alias("keys"))
     keyed = single.unionByName(several).select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(spark, keyed.join(buckets, "key"), "minhash-members")  # only buckets of two or more
-    wanted = members.select("node").distinct()
-    packed = full.join(wanted, "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    packed = full.select("node", "packed").join(degree, "node").groupBy("node").agg(F.max("packed").alias("packed"))
     packed = materialize(spark, packed, "minhash-packed")
     sizes = nodes.select("node", "n")
 
@@ -145,35 +148,22 @@ def classify(docs: DataFrame) -> DataFrame:
         a, b = sizes.withColumnsRenamed({"node": "a", "n": "na"}), sizes.withColumnsRenamed({"node": "b", "n": "nb"})
         return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR).select("a", "b")
 
-    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialize(spark, verified(possible(first), packed), "minhash-tested")
+    def compared_to(rows: DataFrame, by) -> DataFrame:
+        """Pairs of each bucket's nodes with its pivot, the largest by `by`, if of another component."""
+        pivots = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), by).alias("p"))
+        return rows.join(pivots, "key").where("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+    ranked = members.join(degree, "node").withColumn("root", F.col("node"))
+    tested = materialize(spark, verified(possible(compared_to(ranked, F.struct("degree", "node"))), packed), "minhash-tested")
     roots = components(tested.where("link").select("a", "b"))
-    turn = 0
-    while True:
-        # Rows of buckets that hold nodes of more than one component.
-        placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        open_ = materialize(spark, placed.join(mixed, "key"), "minhash-open")
-        x, y = open_.alias("x"), open_.alias("y")
-        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-        if turn < PIVOTS:
-            bounded = F.col("x.size") <= SMALL
-            small = x.where(bounded).join(y, differ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            pivots = open_.where(F.col("size") > SMALL).groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("p"))
-            large = open_.join(pivots, "key").where("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            pairs = small.unionByName(large).distinct()
-        else:
-            pairs = _rest(open_, tested)
-        fresh = possible(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(spark, fresh, "minhash-pairs")
-        if fresh.limit(1).count():
-            more = materialize(spark, verified(fresh, packed), "minhash-more")
-            tested = materialize(spark, tested.unionByName(more), "minhash-tested")
-            if more.where("link").limit(1).count():
-                roots = components(tested.where("link").select("a", "b"))
-        elif turn >= PIVOTS or not open_.where(F.col("size") > SMALL).limit(1).count():
-            break
-        turn += 1
+    open_ = materialize(spark, _open(members, roots), "minhash-open")
+    load = open_.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    crowded = load.where((F.col("rows") * F.col("rows") - F.col("own")) / 2 > CROWDED * F.col("rows")).select("key")
+    pairs = _rest(open_.join(crowded, "key", "left_anti"), tested).unionByName(_by_rare_shingles(open_.join(crowded, "key", "left_semi"), packed))
+    fresh = possible(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    more = materialize(spark, verified(fresh, packed).where("link"), "minhash-more")
+    if more.limit(1).count():
+        roots = components(tested.where("link").select("a", "b").unionByName(more.select("a", "b")))
     named = roots.join(nodes.select("node", "least"), "node")
     label = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = nodes.select("node", "least").join(roots, "node", "left").join(label, "root", "left").select("node", F.coalesce("component", "least").alias("component"))
@@ -182,6 +172,147 @@ def classify(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of buckets that hold nodes of more than one component."""
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(mixed, "key")
+
+
+def _rest(open_: DataFrame, tested: DataFrame) -> DataFrame:
+    """Every pair of different components in a bucket that distances to its pivot don't rule out.
+
+    For any node p, a link (x, y) has |d(p, x) - d(p, y)| <= 1 - NUMERATOR / DENOMINATOR. Each bucket's
+    nodes are dealt by their distance to the node that met most of them into slices of that width, and
+    only nodes of the same or of neighbouring slices are compared.
+    """
+    width = 1 - NUMERATOR / DENOMINATOR
+    met = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("union")).alias("d"))
+    met = met.unionByName(met.select(F.col("node").alias("p"), F.col("p").alias("node"), "d"))
+    known = open_.join(met, "node").groupBy("key", "p").agg(F.count("*").alias("n"))
+    best = known.groupBy("key").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+    dealt = open_.join(best, "key", "left").join(met, ["p", "node"], "left").withColumn("slice", F.floor(F.col("d") / F.lit(width + 1e-9)))
+    # A node that the pivot never met (its size ruled it out, or it shares its component) may stand anywhere.
+    spots = F.when(F.col("slice").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).otherwise(F.array(F.col("slice"), F.col("slice") + 1))
+    placed = dealt.select("key", "node", "root", F.explode(spots).alias("at"))
+    return _across(placed, ["key", "at"])
+
+
+def _across(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct pairs of nodes of different components that meet in the columns `on`."""
+    x, y = rows.alias("x"), rows.alias("y")
+    where = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
+    for c in on:
+        where = where & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.join(y, where).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        if b.num_rows:
+            got = shingles(*word_hashes([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()]))
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in got])))
+            flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(np.diff(offsets)), flat], ["node", "root", "n", "s"])
+
+
+def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles, as any link does.
+
+    In one order of shingles for all, a link's larger set has one of its first 15 hundredths among the first 8
+    of the smaller one, at places behind which enough is left for both.
+    """
+    own = open_.select("node", "root").distinct().join(packed, "node")
+    sets = materialize(open_.sparkSession, own.mapInArrow(_sets, "node binary, root binary, n long, s array<bigint>"), "minhash-shingles")
+    each = sets.select("node", "root", "n", F.explode("s").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    mine = Window.partitionBy("node")
+    ranked = each.join(often, "s").withColumn("place", F.row_number().over(mine.orderBy("often", "s"))).withColumn("met", F.count("*").over(mine))
+    # Shingles that no other node has come first in the order; they meet nobody.
+    ranked = ranked.select("node", "root", "n", "s", (F.col("place") + F.col("n") - F.col("met")).alias("place"))
+    shares = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1)
+    both = NUMERATOR + DENOMINATOR  # a link of sizes n and m shares NUMERATOR * (n + m) / both at least
+    fewer = shares.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * NUMERATOR / both) + 1)
+    # Small sets go along, so that the join itself compares them and only links come out of it.
+    along = sets.select("node", F.when(F.col("n") <= ALONG, F.col("s")).alias("set"))
+    x, y = shares.join(along, "node").alias("x"), fewer.join(along, "node").alias("y")
+    linked = F.size(F.array_intersect("x.set", "y.set")) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
+    order = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
+    reach = (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & reach & F.coalesce(linked, F.lit(True)))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of buckets that hold nodes of more than one component."""
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(mixed, "key")
+
+
+def _rest(open_: DataFrame, tested: DataFrame) -> DataFrame:
+    """Every pair of different components in a bucket that distances to its pivot don't rule out.
+
+    For any node p, a link (x, y) has |d(p, x) - d(p, y)| <= 1 - NUMERATOR / DENOMINATOR. Each bucket's
+    nodes are dealt by their distance to the node that met most of them into slices of that width, and
+    only nodes of the same or of neighbouring slices are compared.
+    """
+    width = 1 - NUMERATOR / DENOMINATOR
+    met = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("union")).alias("d"))
+    met = met.unionByName(met.select(F.col("node").alias("p"), F.col("p").alias("node"), "d"))
+    known = open_.join(met, "node").groupBy("key", "p").agg(F.count("*").alias("n"))
+    best = known.groupBy("key").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+    dealt = open_.join(best, "key", "left").join(met, ["p", "node"], "left").withColumn("slice", F.floor(F.col("d") / F.lit(width + 1e-9)))
+    # A node that the pivot never met (its size ruled it out, or it shares its component) may stand anywhere.
+    spots = F.when(F.col("slice").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).otherwise(F.array(F.col("slice"), F.col("slice") + 1))
+    placed = dealt.select("key", "node", "root", F.explode(spots).alias("at"))
+    return _across(placed, ["key", "at"])
+
+
+def _across(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct pairs of nodes of different components that meet in the columns `on`."""
+    x, y = rows.alias("x"), rows.alias("y")
+    where = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
+    for c in on:
+        where = where & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.join(y, where).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        if b.num_rows:
+            got = shingles(*word_hashes([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()]))
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in got])))
+            flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(np.diff(offsets)), flat], ["node", "root", "n", "s"])
+
+
+def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles, as any link does.
+
+    In one order of shingles for all, a link's larger set has one of its first 15 hundredths among the first 8
+    of the smaller one, at places behind which enough is left for both.
+    """
+    own = open_.select("node", "root").distinct().join(packed, "node")
+    sets = materialize(open_.sparkSession, own.mapInArrow(_sets, "node binary, root binary, n long, s array<bigint>"), "minhash-shingles")
+    each = sets.select("node", "root", "n", F.explode("s").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    mine = Window.partitionBy("node")
+    ranked = each.join(often, "s").withColumn("place", F.row_number().over(mine.orderBy("often", "s"))).withColumn("met", F.count("*").over(mine))
+    # Shingles that no other node has come first in the order; they meet nobody.
+    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    return _across(ranked.where(F.col("place") + F.col("n") - F.col("met") <= prefix).select("node", "root", "s"), ["s"])
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of buckets that hold nodes of more than one component."""
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(mixed, "key")
+
+
 def _rest(open_: DataFrame, tested: DataFrame) -> DataFrame:
     """What several pivots left: every pair of different components that no pivot's distances rule out.
 
