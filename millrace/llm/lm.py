@@ -278,7 +278,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str | None = None) -> Dat
     escape = discount * v / n if n else 0.5
     end = (ends - discount) / n if ends else escape
     scored = materialize(spark, _scored(types, lattice, n, discount, escape), "lm-scored")
-    back = listed.select("block", "local", "word").join(scored, "word").select("block", "local", "c", "s")
+    back = listed.select(F.col("block").alias("of"), "local", "word").join(scored, "word").select("of", "local", "c", "s")
     base_of = _base(n, v)
     base_end, log_end = float(base_of(np.array([ends]))[0]), math.log10(end)
 
@@ -300,7 +300,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str | None = None) -> Dat
         return table
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return held.drop("words", "counts", "first").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(summed, schema)
+    return held.drop("words", "counts", "first").groupBy("block").cogroup(back.groupBy("of")).applyInPandas(summed, schema)
 
 
 def _base(n: int, v: int):

@@ -244,95 +244,6 @@ def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of buckets that hold nodes of more than one component."""
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(mixed, "key")
-
-
-def _rest(open_: DataFrame, tested: DataFrame) -> DataFrame:
-    """Every pair of different components in a bucket that distances to its pivot don't rule out.
-
-    For any node p, a link (x, y) has |d(p, x) - d(p, y)| <= 1 - NUMERATOR / DENOMINATOR. Each bucket's
-    nodes are dealt by their distance to the node that met most of them into slices of that width, and
-    only nodes of the same or of neighbouring slices are compared.
-    """
-    width = 1 - NUMERATOR / DENOMINATOR
-    met = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("union")).alias("d"))
-    met = met.unionByName(met.select(F.col("node").alias("p"), F.col("p").alias("node"), "d"))
-    known = open_.join(met, "node").groupBy("key", "p").agg(F.count("*").alias("n"))
-    best = known.groupBy("key").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
-    dealt = open_.join(best, "key", "left").join(met, ["p", "node"], "left").withColumn("slice", F.floor(F.col("d") / F.lit(width + 1e-9)))
-    # A node that the pivot never met (its size ruled it out, or it shares its component) may stand anywhere.
-    spots = F.when(F.col("slice").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).otherwise(F.array(F.col("slice"), F.col("slice") + 1))
-    placed = dealt.select("key", "node", "root", F.explode(spots).alias("at"))
-    return _across(placed, ["key", "at"])
-
-
-def _across(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct pairs of nodes of different components that meet in the columns `on`."""
-    x, y = rows.alias("x"), rows.alias("y")
-    where = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-    for c in on:
-        where = where & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    return x.join(y, where).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        if b.num_rows:
-            got = shingles(*word_hashes([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()]))
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in got])))
-            flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(np.diff(offsets)), flat], ["node", "root", "n", "s"])
-
-
-def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles, as any link does.
-
-    In one order of shingles for all, a link's larger set has one of its first 15 hundredths among the first 8
-    of the smaller one, at places behind which enough is left for both.
-    """
-    own = open_.select("node", "root").distinct().join(packed, "node")
-    sets = materialize(open_.sparkSession, own.mapInArrow(_sets, "node binary, root binary, n long, s array<bigint>"), "minhash-shingles")
-    each = sets.select("node", "root", "n", F.explode("s").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    mine = Window.partitionBy("node")
-    ranked = each.join(often, "s").withColumn("place", F.row_number().over(mine.orderBy("often", "s"))).withColumn("met", F.count("*").over(mine))
-    # Shingles that no other node has come first in the order; they meet nobody.
-    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    return _across(ranked.where(F.col("place") + F.col("n") - F.col("met") <= prefix).select("node", "root", "s"), ["s"])
-
-
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of buckets that hold nodes of more than one component."""
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(mixed, "key")
-
-
-def _rest(open_: DataFrame, tested: DataFrame) -> DataFrame:
-    """What several pivots left: every pair of different components that no pivot's distances rule out.
-
-    For any node p, a link (x, y) has |d(p, x) - d(p, y)| <= 1 - NUMERATOR / DENOMINATOR. Each bucket's
-    nodes are dealt by their distance to the pivot that met most of them into slices of that width, and
-    only nodes of the same or of neighbouring slices are compared.
-    """
-    width = 1 - NUMERATOR / DENOMINATOR
-    met = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("union")).alias("d"))
-    met = met.unionByName(met.select(F.col("node").alias("p"), F.col("p").alias("node"), "d"))
-    known = open_.join(met, "node").groupBy("key", "p").agg(F.count("*").alias("n"))
-    best = known.groupBy("key").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
-    dealt = open_.join(best, "key").join(met, ["p", "node"], "left").withColumn("slice", F.floor(F.col("d") / F.lit(width + 1e-9)))
-    # A node that the pivot never met (its size ruled it out, or it shares its component) may stand anywhere.
-    x = dealt.select("key", "node", "root", F.explode(F.when(F.col("slice").isNull(), F.sequence(F.lit(-1), F.lit(8))).otherwise(F.array(F.col("slice"), F.col("slice") + 1))).alias("at")).alias("x")
-    y = dealt.select("key", "node", "root", F.explode(F.when(F.col("slice").isNull(), F.sequence(F.lit(-1), F.lit(8))).otherwise(F.array(F.col("slice"), F.col("slice") + 1))).alias("at")).alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one of the smallest id."""
     kept = classify(docs).where("kept").select("doc_id").distinct()

@@ -110,7 +110,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, word, pick("h", "commit", "sha1", "revision", "hash", "digest"), empty, cut(hexed, F.lit(40))),
         (0, pick("h", "md5", "checksum", "etag"), sign, F.lit('"'), cut(hexed, F.lit(32))),
         (0, word, pick("u", "uuid", "id", "record", "session"), empty, F.concat_ws("-", cut(hexed, F.lit(8)), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12))),
-        (0, word, neutral, empty, F.concat(pick("p", "https://www.", "http://docs.", "/usr/lib/", "/home/user/"), cut(other, F.lit(6)), pick("t", ".example.com/page/", "/static/image/", ".org/index/"), cut(F.conv(other, 16, 10), F.lit(4)), pick("e", ".html", ".png", ".pdf", ""))),
+        (0, word, neutral, empty, F.concat(pick("p", "https://www.", "http://docs.", "/usr/lib/", "/home/user/"), cut(other, F.lit(6)), pick("t", ".example.com/page/", "/static/image/", ".org/index/"), cut(F.conv(F.substring(other, 1, 12), 16, 10), F.lit(4)), pick("e", ".html", ".png", ".pdf", ""))),
         (0, neutral, word, empty, cut(F.regexp_replace(F.concat(hexed, other), "[^0-9]", ""), size(16, 19))),
         (0, word, neutral, empty, F.concat(word, F.lit("."), cut(F.regexp_replace(hexed, "[^0-9]", ""), F.lit(2)), F.lit("@mail"), F.pmod(i, F.lit(9)).cast("string"), F.lit(".example.com"))),
         (0, word, word, empty, F.concat(pick("f", "report-final-", "backup_archive_", "release-version-"), day, pick("x", ".tar.gz", ".zip", "-beta.2.json"))),
