@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A term is a run of letters, in lower case, hashed into 2**18 buckets; its value grows with the
-number of times that the text has it. Besides a weight per bucket the machine learns a short
+A term is a run of letters, in lower case, or the start of a longer one (words of one family differ in their
+endings), hashed into 2**18 buckets; its value grows with the number of times that the
+text has it. Besides a weight per bucket the machine learns a short
 vector per bucket, whose inner products are the weights of pairs: two mild terms may together say
 what neither says alone. Buckets that tell nothing of the label are dropped by a chi-squared test
 before the fit. The fit runs on the driver over a bounded sample of labelled rows (`most`); whole
@@ -31,6 +32,7 @@ from millrace.llm.common import documents, id_remainder, labelled_sample, small_
 #: Labelled rows that a fit reads at most.
 FIT_ROWS = 12_000
 BUCKETS, TERMS, FACTORS, EPOCHS, LEAST_TEXTS, LEAST_CHI = 2**18, 4096, 6, 24, 4, 12.0
+PARTS = (5, 6, 7)
 #: Terms whose bucket a worker keeps in mind; beyond, it starts anew.
 MEMO = 400_000
 
@@ -45,6 +47,11 @@ def terms(text: str) -> Counter:
     return Counter(_LETTERS.findall(text.lower()))
 
 
+def buckets_of(word: str) -> list[int]:
+    """Those of the word and of its starts."""
+    return [bucket(p) for p in (word, *[word[:k] + "*" for k in PARTS if k < len(word)])]
+
+
 def value(count) -> np.ndarray:
     """1 for a term that occurs once, growing with the logarithm."""
     return np.log1p(count) / math.log(2)
@@ -128,7 +135,8 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column("text").to_pylist():
             bag: dict[int, int] = {}
             for w, c in terms(t or "").items():
-                bag[k] = bag.get(k := bucket(w), 0) + c
+                for k in buckets_of(w):
+                    bag[k] = bag.get(k, 0) + c
             bags.append(sorted(bag.items()))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("label"), pa.array([[k for k, _ in x] for x in bags], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in bags], pa.list_(pa.int32()))],
@@ -161,18 +169,18 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {int(k): i for i, k in enumerate(model.buckets)}
-        memo: dict[str, int] = {}
+        memo: dict[str, list[int]] = {}
         for b in batches:
             rows, columns, counts = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 bag: dict[int, int] = {}
                 for w, n in terms(t or "").items():
-                    k = memo.get(w)
-                    if k is None:
+                    own = memo.get(w)
+                    if own is None:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        k = memo[w] = at.get(bucket(w), -1)
-                    if k >= 0:
+                        own = memo[w] = [at[k] for k in buckets_of(w) if k in at]
+                    for k in own:
                         bag[k] = bag.get(k, 0) + n
                 for k, n in sorted(bag.items()):
                     rows.append(i), columns.append(k), counts.append(n)
