@@ -29,7 +29,16 @@ def session(master: str = "local[*]", app: str = "millrace", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find the package where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
