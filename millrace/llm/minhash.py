@@ -43,6 +43,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 CROWDED = 10
 #: Shingles of a set that is compared inside the join of such a search.
 ALONG = 512
+#: Cells of the table of frequencies by which shingles are ordered.
+CELLS = 2**20
 
 _table: np.ndarray | None = None
 
@@ -217,31 +219,60 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(np.diff(offsets)), flat], ["node", "root", "n", "s"])
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of CELLS cells come: as many numbers whatever the number of documents."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column("s").flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    got = sets.select("s").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
 def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles, as any link does.
 
-    In one order of shingles for all, a link's larger set has one of its first 15 hundredths among the first 8
-    of the smaller one, at places behind which enough is left for both.
+    In one order of shingles for all (by the frequency of their cell, then by hash), a link's larger set has one of
+    its first 15 hundredths among the first 8 of the smaller one, at places behind which enough is left for both.
     """
     own = open_.select("node", "root").distinct().join(packed, "node")
     sets = materialize(open_.sparkSession, own.mapInArrow(_sets, "node binary, root binary, n long, s array<bigint>"), "minhash-shingles")
-    each = sets.select("node", "root", "n", F.explode("s").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    mine = Window.partitionBy("node")
-    ranked = each.join(often, "s").withColumn("place", F.row_number().over(mine.orderBy("often", "s"))).withColumn("met", F.count("*").over(mine))
-    # Shingles that no other node has come first in the order; they meet nobody.
-    ranked = ranked.select("node", "root", "n", "s", (F.col("place") + F.col("n") - F.col("met")).alias("place"))
-    shares = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1)
+    often = _frequencies(sets)
     both = NUMERATOR + DENOMINATOR  # a link of sizes n and m shares NUMERATOR * (n + m) / both at least
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first places of each set; a shingle alone in its cell meets nobody and is left out."""
+        for b in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            for node, root, s in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("s"), strict=True):
+                s = s.values.to_numpy()
+                n, f = len(s), often[s & (CELLS - 1)]
+                order = np.lexsort((s, f))[: n - -(-n * NUMERATOR // DENOMINATOR) + 1]
+                firsts = s[order[f[order] > 1]]
+                alone = len(order) - len(firsts)
+                for column, v in zip(rows, (node, root, n, firsts, alone, s if n <= ALONG else None), strict=True):
+                    column.append(v)
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "root", "n", "firsts", "alone", "set"])
+
+    # Small sets go along, so that the join itself compares them and only links come out of it; and of the
+    # shingles that two prefixes share only the first makes a pair.
+    placed = sets.mapInArrow(ranked, "node binary, root binary, n long, firsts array<bigint>, alone long, set array<bigint>")
+    shares = placed.select("*", F.posexplode("firsts").alias("at", "s")).withColumn("place", F.col("alone") + F.col("at") + 1)
     fewer = shares.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * NUMERATOR / both) + 1)
-    # Small sets go along, so that the join itself compares them and only links come out of it.
-    along = sets.select("node", F.when(F.col("n") <= ALONG, F.col("s")).alias("set"))
-    x, y = shares.join(along, "node").alias("x"), fewer.join(along, "node").alias("y")
+    x, y = shares.alias("x"), fewer.alias("y")
     linked = F.size(F.array_intersect("x.set", "y.set")) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
     order = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
     reach = (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & reach & F.coalesce(linked, F.lit(True)))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    first = F.get(F.array_intersect("y.firsts", "x.firsts"), F.lit(0)) == F.col("x.s")
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & reach & first & F.coalesce(linked, F.lit(True)))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
