@@ -12,8 +12,10 @@ run keeps its smallest position. Runs are formed without one suffix array of eve
 2. Anchors meet by hash. Where surroundings are equal too, all strings over the later ones are repeats. Only
    where one anchor has different surroundings are those bytes looked at.
 3. For these, the suffixes of each anchor's surroundings are brought in runs of equal WINDOW-byte prefixes, and
-   what isn't the smallest of its run is a repeat. Anchors with very many different surroundings do so by a
-   grouped minimum over all tasks.
+   what isn't the smallest of its run is a repeat. Anchors with very many different surroundings are first cut
+   into finer ones: the strings that start in a SPREAD of places before the anchor share a longer core, which
+   becomes the anchor, and fewer surroundings, which are merged as in 1 and 2. What is still crowded then is
+   brought in runs by a grouped minimum over all tasks.
 
 Hashes are 64 bits of anchor and 64 bits of surroundings or string together.
 
@@ -40,6 +42,8 @@ WINDOW, KEY = 100, 32
 REACH = WINDOW - KEY
 #: Bytes that are hashed at once, anchors that a task merges at once, and surroundings of an anchor that one task takes.
 PIECE, MERGED, CROWD = 1_000_000, 300_000, 4_096
+#: Places before a crowded anchor whose strings share a finer one.
+SPREAD = 14
 _LEAST = -(2**63)
 
 
@@ -197,6 +201,65 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rest)
 
 
+_FINER = "whole boolean, anchor long, around long, ord long, twin long, pos int, reach int, hi int, bytes binary"
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Finer anchors of crowded ones; of equal surroundings in a task only the first keeps its bytes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    kept: list[bytes] = []
+
+    def merged() -> pa.RecordBatch:
+        o, w, p, a, s, reach, hi, src = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((p, o, s, a))
+        o, w, p, a, s, reach, hi, src = (x[order] for x in (o, w, p, a, s, reach, hi, src))
+        first = np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+        later = (o != o[lead]) | (p != p[lead])
+        a = np.where(later, mix(o.view(np.uint64) ^ mix(p.astype(np.uint64))), a)
+        own = [None if x else kept[k][at : at + n] for x, (k, at), n in zip(later.tolist(), src.tolist(), (hi - p + reach).tolist(), strict=True)]
+        columns = [(later, pa.bool_()), (a.view(np.int64), pa.int64()), (s.view(np.int64), pa.int64()), (o, pa.int64()), (w, pa.int64()), (p, pa.int32()), (reach, pa.int32()), (hi, pa.int32()), (own, pa.binary())]
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["whole", "anchor", "around", "ord", "twin", "pos", "reach", "hi", "bytes"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        anchor, o, w, pos, reach = (b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "ord", "twin", "pos", "reach"))
+        raws = b.column("bytes").to_pylist()
+        size = np.array([len(x) for x in raws], np.int64)
+        begin, total, reach = np.cumsum(size) - size, sums(np.frombuffer(b"".join(raws), np.uint8)), reach.astype(np.int64)
+        at = begin + reach  # of the anchor
+        for n, near in enumerate(range(0, REACH + 1, SPREAD)):
+            most, least = np.minimum(min(near + SPREAD - 1, REACH), reach), np.maximum(near, WINDOW - (size - reach))
+            i = np.flatnonzero(least <= most)
+            far, core = min(near + SPREAD - 1, REACH), at[i] - near
+            key = mix(ranges(total, core, at[i] + WINDOW - far) ^ mix(anchor[i].view(np.uint64) + np.uint64(n)))
+            lo, hi = at[i] - most[i], at[i] - least[i] + WINDOW
+            around = mix(ranges(total, lo, hi) ^ mix(most[i].astype(np.uint64)))
+            source = np.stack((i + len(kept), lo - begin[i]), axis=1)
+            held.append((o[i], w[i], pos[i].astype(np.int64), key, around, most[i], pos[i] - least[i] + WINDOW, source))
+        kept += raws
+        if sum(len(x[0]) for x in held) >= MERGED:
+            yield merged()
+    if held and sum(len(x[0]) for x in held):
+        yield merged()
+
+
+def _ranked(found: DataFrame, crowd: int) -> DataFrame:
+    """With `repeated` (its surroundings stand earlier), `crowded`, and only what is repeated or has others to be compared to."""
+    same = Window.partitionBy("anchor", "around").orderBy("ord", "pos")
+    ranked = (
+        found.repartition("anchor")
+        .withColumn("first", F.first(F.struct("ord", "pos")).over(same))
+        .withColumn("nth", F.row_number().over(same))
+        .withColumn("differ", F.sum((F.col("nth") == 1).cast("long")).over(Window.partitionBy("anchor")))
+    )
+    repeated = F.col("whole") | (F.col("first.ord") != F.col("ord")) | (F.col("first.pos") != F.col("pos"))
+    return ranked.withColumn("whole", repeated).withColumn("crowded", F.col("differ") > crowd).where("whole OR differ > 1").drop("first", "nth", "differ", "around")
+
+
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the surroundings of crowded anchors, for a grouped minimum."""
     for b in batches:
@@ -244,33 +307,25 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     rows = rows.withColumn("twin", F.xxhash64("text") if twins else F.lit(0).cast("long"))
 
     found = rows.select("ord", "twin", "text").mapInArrow(_anchored, "whole boolean, anchor long, around long, ord long, twin long, pos int")
-    same = Window.partitionBy("anchor", "around").orderBy("ord", "pos")
-    ranked = (
-        found.repartition("anchor")
-        .withColumn("first", F.first(F.struct("ord", "pos")).over(same))
-        .withColumn("nth", F.row_number().over(same))
-        .withColumn("differ", F.sum((F.col("nth") == 1).cast("long")).over(Window.partitionBy("anchor")))
-    )
-    repeated = F.col("whole") | (F.col("first.ord") != F.col("ord")) | (F.col("first.pos") != F.col("pos"))
-    state = materialize(spark, ranked.select("ord", "twin", "pos", "anchor", repeated.alias("whole"), (F.col("differ") > crowd).alias("crowded"), "differ").where("whole OR differ > 1").drop("differ"), "repeats-anchors")
+    state = materialize(spark, _ranked(found, crowd).select("ord", "twin", "pos", "anchor", "whole", "crowded"), "repeats-anchors")
 
     packed = rows.mapInArrow(_packed, "doc_id long, ord long, twin long, packed binary")
     asked = state.where("NOT whole").groupBy("ord", "twin").agg(F.collect_set(F.struct("pos", "anchor", "crowded")).alias("asked"))
     unique = packed.select("ord", "twin", "packed").join(asked, ["ord", "twin"])
     around = unique.mapInArrow(_surroundings, _AROUND)
+    runs = state.where("whole").select("ord", "twin", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("lo"), (F.col("pos") + WINDOW).alias("hi"))
+    quiet = around.where("NOT crowded").select("anchor", "ord", "twin", "pos", "reach", "bytes")
     if state.where("NOT whole AND crowded").limit(1).count():
         around = materialize(spark, around, "repeats-around")
-        spelled = around.where("crowded").mapInArrow(_spelled, "key long, ord long, twin long, start int")
+        quiet = around.where("NOT crowded").select("anchor", "ord", "twin", "pos", "reach", "bytes")
+        finer = materialize(spark, _ranked(around.where("crowded").mapInArrow(_finer, _FINER), crowd).withColumn("bytes", F.when(~F.col("whole"), F.col("bytes"))), "repeats-finer")
+        quiet = quiet.unionByName(finer.where("NOT whole AND NOT crowded").select(*quiet.columns))
+        spelled = finer.where("NOT whole AND crowded").mapInArrow(_spelled, "key long, ord long, twin long, start int")
         least = spelled.groupBy("key").agg(F.min(F.struct("ord", "start")).alias("least"))
-        crowd_runs = spelled.join(least, "key").where("ord <> least.ord OR start <> least.start").select("ord", "twin", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi")).distinct()
-    else:
-        crowd_runs = None
-    quiet = around.where("NOT crowded").repartition("anchor").sortWithinPartitions("anchor", "ord", "pos")
-    runs = quiet.mapInArrow(_compared, "ord long, twin long, lo int, hi int")
-    whole = state.where("whole").select("ord", "twin", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("lo"), (F.col("pos") + WINDOW).alias("hi"))
-    runs = whole.unionByName(runs)
-    if crowd_runs is not None:
-        runs = runs.unionByName(crowd_runs)
+        again = spelled.join(least, "key").where("ord <> least.ord OR start <> least.start").select("ord", "twin", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"))
+        runs = runs.unionByName(finer.where("whole").select("ord", "twin", (F.col("pos") - F.col("reach")).alias("lo"), "hi")).unionByName(again)
+    compared = quiet.repartition("anchor").sortWithinPartitions("anchor", "ord", "pos").mapInArrow(_compared, "ord long, twin long, lo int, hi int")
+    runs = runs.unionByName(compared)
     marks = materialize(spark, runs.groupBy("ord", "twin").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "repeats-marks")
     return packed.join(marks, ["ord", "twin"], "left").select("doc_id", "packed", "runs").mapInArrow(_cut, _RESULT)
 
