@@ -7,6 +7,10 @@ recursion in log space; a first piece comes from the pieces that open words, lat
 after each the word ends or goes on. The vocabulary is taken as it is. Its own scores are where expectation
 maximisation starts, which weighs each distinct training word once, as words not seen yet are like rare ones.
 
+A text repeats its own words. So its words are drawn from an urn (a Polya urn of `URN` balls by those word
+probabilities, to which each drawn word adds one of its kind): the text's probability depends on how often it has
+each word, not on their order, and sums to 1 over all texts as before.
+
 Counts. Each task numbers the words of its documents in blocks of `BLOCK_BYTES` of text; documents become
 compressed lists of numbers, and only a block's distinct words are shuffled: to be counted, scored once for the
 whole corpus, and sent back to their blocks. So a frequent word costs a row a block, wherever it stands.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bytehash import _BASE, _INVERSE, mix, powers
 from millrace.llm.common import documents, id_remainder, materialize, small_batches, texts
 
-BLOCK_BYTES, ROUNDS, LONGEST_BATCHED = 48_000_000, 2, 160
+BLOCK_BYTES, ROUNDS, LONGEST_BATCHED, URN = 48_000_000, 2, 160, 1000.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -294,7 +298,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str | None = None) -> Dat
             stop = np.cumsum(distinct)
             for i, there, h, w, d, e in zip(ids, known, held_, sizes, distinct, stop, strict=True):
                 own, k = np.cumsum(gaps[e - d : e]), times[e - d : e]
-                out.append((int(i) if there else None, bool(h), int(w) + 1, int(k[c[own] > 0].sum()) + (ends > 0), n, float(k @ base[own]) + base_end, float(k @ s[own]) + log_end))
+                out.append((int(i) if there else None, bool(h), int(w) + 1, int(k[c[own] > 0].sum()) + (ends > 0), n, float(k @ base[own]) + base_end, urn(s[own], k, log_end)))
         table = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         table["doc_id"] = pd.array([x[0] for x in out], dtype="Int64")
         return table
@@ -303,6 +307,21 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str | None = None) -> Dat
     return held.drop("words", "counts", "first").groupBy("block").cogroup(back.groupBy("of")).applyInPandas(summed, schema)
 
 
+def urn(logs: np.ndarray, times: np.ndarray, log_end: float, size: float = URN) -> float:
+    """log10 probability of drawing each word its number of times, and then the end."""
+    balls = size * 10.0**logs
+    out = float((logs.sum() + len(logs) * math.log10(size)) if len(logs) else 0.0)  # each first draw
+    more = np.flatnonzero(times > 1)
+    few = more[times[more] <= 16]
+    for k in range(1, int(times[few].max()) if len(few) else 0):
+        few = few[times[few] > k]
+        out += float(np.log10(balls[few] + k).sum())
+    for i in more[times[more] > 16]:
+        out += (math.lgamma(balls[i] + times[i]) - math.lgamma(balls[i] + 1)) / math.log(10)
+    n = int(times.sum())
+    return out - (math.lgamma(size + n + 1) - math.lgamma(size)) / math.log(10) + math.log10(size) + log_end
+
+
 def _base(n: int, v: int):
     return lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 

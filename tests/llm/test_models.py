@@ -230,10 +230,26 @@ def test_lattice_is_a_distribution():
     assert 0.9 < total <= 1 + 1e-9
 
 
-def test_lm_beats_the_base_on_held_out_words(spark):
+def test_urn_against_single_draws():
+    logs, times = np.log10([0.2, 0.05, 1e-9, 0.3]), np.array([3, 1, 2, 40])
+    drawn, want = [0] * 4, 0.0
+    for i in [0, 3, 2, 0, 1, 2, 0] + [3] * 39:
+        want += math.log10((1000 * 10 ** logs[i] + drawn[i]) / (1000 + sum(drawn)))
+        drawn[i] += 1
+    want += math.log10(1000 * 0.01 / (1000 + sum(drawn)))
+    assert abs(lm.urn(logs, times, math.log10(0.01)) - want) < 1e-9
+    assert abs(lm.urn(logs[:0], times[:0], math.log10(0.01)) + 2) < 1e-12
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Texts of words that are made of a few parts, and that keep to words of their own."""
     rng = random.Random(8)
     parts = ["ka", "lo", "mi", "ter", "un", "der", "ing", "sh"]
-    rows = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(2, 5))) for _ in range(80)), "en", "s", 0, 0.0, 0, "") for i in range(150)]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(2, 5)))
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(20)]
+        rows.append((i, " ".join(rng.choice(own) if rng.random() < 0.5 else word() for _ in range(80)), "en", "s", 0, 0.0, 0, ""))
     got = lm.score_texts(spark.createDataFrame(rows, DOCS), id_remainder(10) == 0).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
