@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEADER = b"MRC1", "<4sIIII"
-LANES, STEPS = 2048, 256  # lanes at most, and ids of a lane at least
+LANES, STEPS, LAG = 8192, 256, 4  # lanes at most, ids of a lane at least, and steps from one update of order 0 to the next
 TOTAL_BITS, LEAST_BITS, GAIN, SLOTS, SURE = 26, 23, 8, 2**18, 7
 TOTAL, LEAST = 1 << TOTAL_BITS, 1 << LEAST_BITS
 _32 = np.uint64(32)
@@ -31,17 +31,26 @@ class Model:
     def __init__(self, vocabulary: int):
         self.n = vocabulary
         self.count = np.ones(vocabulary, np.int64)
-        self.upto = np.arange(vocabulary + 1, dtype=np.int64)
-        self.total = vocabulary
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self._scale()
+        self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(SLOTS, np.int64)  # id * 8 + confidence
         self.seen = np.ones((3, 2 * (SURE + 1) ** 2), np.int64)  # order 2 right, order 1 right, neither
 
+    def _scale(self) -> None:
+        """Shares of ids in TOTAL; each at least TOTAL / LEAST, so none vanishes under the least weight of order 0."""
+        total = int(self.count.sum())
+        while total > LEAST:
+            self.count = np.maximum(1, self.count >> 1)
+            total = int(self.count.sum())
+        upto = np.zeros(self.n + 1, np.int64)
+        np.cumsum(self.count, out=upto[1:])
+        self.upto = ((upto << TOTAL_BITS) // total).astype(np.int32)
+
     def predict(self, last2: np.ndarray, last1: np.ndarray) -> None:
         self.slot = ((last2 * 40503 + last1) * 2654435761 >> 7) & (SLOTS - 1)
         self.last1 = last1
-        self.p1, self.p2 = self.next1[last1], self.next2[self.slot]
-        self.k1, self.k2 = self.sure1[last1], self.sure2[self.slot]
+        one, two = self.one[last1], self.two[self.slot]
+        self.p1, self.p2, self.k1, self.k2 = one >> 3, two >> 3, one & 7, two & 7
         self.group = (self.k2 * (SURE + 1) + self.k1) * 2 + (self.p1 == self.p2)
         share = (self.seen[:2] * (TOTAL - LEAST)) // self.seen.sum(axis=0)
         self.w2, self.w1 = share[0][self.group], share[1][self.group]
@@ -49,7 +58,7 @@ class Model:
 
     def below(self, ids: np.ndarray) -> np.ndarray:
         """Order 0's part of what lies below the ids."""
-        return self.upto[ids] * self.w0 // self.total
+        return self.upto[ids] * self.w0 >> TOTAL_BITS
 
     def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo = self.below(ids)
@@ -68,25 +77,24 @@ class Model:
         rest = np.where(over_a, at - wa, at)
         over_b = over_a & (rest >= self.below(b + 1) + wb)
         is_b = over_a & ~over_b & (rest >= self.below(b))
-        rest = np.where(over_b, rest - wb, rest)
-        ids = np.searchsorted(self.upto, ((rest + 1) * self.total - 1) // self.w0, side="right") - 1
-        return np.where(is_a, a, np.where(is_b, b, np.minimum(ids, self.n - 1)))
+        ids = np.where(is_a, a, b)
+        i = np.flatnonzero(~(is_a | is_b))
+        goal = np.where(over_b[i], rest[i] - wb[i], rest[i])
+        # The largest id with upto * w0 >> TOTAL_BITS <= goal.
+        ids[i] = np.minimum(np.searchsorted(self.upto, ((((goal + 1) << TOTAL_BITS) - 1) // self.w0[i]).astype(np.int32), side="right") - 1, self.n - 1)
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.p1 == ids, self.p2 == ids
         kind = np.where(hit2, 0, np.where(hit1, 1, 2))
         self.seen += np.bincount(kind * self.seen.shape[1] + self.group, minlength=self.seen.size).reshape(self.seen.shape)
-        self.next1[self.last1] = np.where(hit1 | (self.k1 == 0), ids, self.p1)
-        self.sure1[self.last1] = np.where(hit1, np.minimum(self.k1 + 1, SURE), self.k1 >> 1)
-        self.next2[self.slot] = np.where(hit2 | (self.k2 == 0), ids, self.p2)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.k2 + 1, SURE), self.k2 >> 1)
-        self.count += GAIN * np.bincount(ids, minlength=self.n)
-        np.cumsum(self.count, out=self.upto[1:])
-        self.total = int(self.upto[-1])
-        while self.total > LEAST:
-            self.count = np.maximum(1, self.count >> 1)
-            np.cumsum(self.count, out=self.upto[1:])
-            self.total = int(self.upto[-1])
+        for table, at, hit, old, sure in ((self.one, self.last1, hit1, self.p1, self.k1), (self.two, self.slot, hit2, self.p2, self.k2)):
+            table[at] = np.where(hit | (sure == 0), ids, old) << 3 | np.where(hit, np.minimum(sure + 1, SURE), sure >> 1)
+        self.waiting.append(ids)
+        if len(self.waiting) == LAG:
+            self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.n)
+            self.waiting = []
+            self._scale()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -94,6 +102,14 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _ready(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose upper half is settled, or whose span is so small that it must be cut to settle it; and their spans."""
+    open_ = (low ^ (low + span)) > _LOW32
+    i = np.flatnonzero(~open_ | (span <= _LOW32))
+    own = low[i]
+    return i, np.where(open_[i], (~own + np.uint64(1)) & _LOW32, span[i])
+
+
 def encode(ids: np.ndarray) -> bytes:
     """One block. Ids are whole numbers from 0 to 2**22."""
     n = len(ids)
@@ -115,16 +131,13 @@ def encode(ids: np.ndarray) -> bytes:
         unit = span >> np.uint64(TOTAL_BITS)
         low = low + unit * start.astype(np.uint64)
         span = unit * size.astype(np.uint64)
-        while True:
-            settled = ((low ^ (low + span)) >> _32) == 0
-            i = np.flatnonzero(settled | (span <= _LOW32))
-            if not len(i):
-                break
-            s = np.where(settled[i], span[i], (~low[i] + np.uint64(1)) & _LOW32)
+        i, left = _ready(low, span)
+        while len(i):
             out[i, used[i]] = (low[i] >> _32).astype(np.uint32)
             used[i] += 1
-            low[i] <<= _32
-            span[i] = s << _32
+            low[i], span[i] = low[i] << _32, left << _32
+            k, left = _ready(low[i], span[i])
+            i = i[k]
         model.learn(own)
         last2, last1 = last1, own
     for _ in range(2):
@@ -164,16 +177,13 @@ def decode(block: bytes) -> np.ndarray:
         start, size_ = model.share(own)
         low = low + unit * start.astype(np.uint64)
         span = unit * size_.astype(np.uint64)
-        while True:
-            settled = ((low ^ (low + span)) >> _32) == 0
-            i = np.flatnonzero(settled | (span <= _LOW32))
-            if not len(i):
-                break
-            s = np.where(settled[i], span[i], (~low[i] + np.uint64(1)) & _LOW32)
+        i, left = _ready(low, span)
+        while len(i):
             code[i] = (code[i] << _32) | words[np.minimum(read[i], len(words) - 1)]
             read[i] += 1
-            low[i] <<= _32
-            span[i] = s << _32
+            low[i], span[i] = low[i] << _32, left << _32
+            k, left = _ready(low[i], span[i])
+            i = i[k]
         table[:, t] = own
         model.learn(own)
         last2, last1 = last1, own

@@ -7,9 +7,10 @@ documents with their lengths, and the coded block. Spark's writer commits the fi
 leaves nothing behind.
 
 Texts are encoded by the `tokenizers` library. A worker keeps the ids of pieces that it met (at most
-`MEMO` of them): pieces end only between a character that is no white space and a single space that such a
-character follows, where the byte-level pre-tokenizer always cuts, so pieces encode alone as they do in
-their text. Texts with other white space next to a space go to the library whole.
+`MEMO` of them, by a 64-bit hash): pieces end only between a character that is no white space and a single
+space that such a character follows, or between an ASCII letter and a mark, where the byte-level pre-tokenizer
+always cuts, so pieces encode alone as they do in their text. Texts with other white space next to a space, or with pieces of more than `LONGEST`
+bytes, go to the library whole.
 
 Nulls: a null text is empty and holds its end id only; null ids come first; rows of equal id are ordered by
 text. An empty table has no blocks. Other columns are ignored.
@@ -21,7 +22,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bytehash import ranges, sums
 from millrace.llm.coder import decode, encode
 from millrace.llm.common import documents, materialize, small_batches, texts
 
-END, BLOCK, MEMO = 0, 2**19, 300_000
+END, BLOCK, MEMO, LONGEST = 0, 2**21, 2_000_000, 200
+RECENT, ROW = 100_000, 4096
 
-_AWKWARD = re.compile(r"[^\S ] | [^\S ]|  |^ | $")
+#: White space that isn't ASCII, or that only some count as such.
+_EXOTIC = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Between a letter and one of these marks the pre-tokenizer always cuts, too.
+_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes([*range(65, 91), *range(97, 123)])))
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _state: dict = {}
 
 
@@ -45,13 +52,25 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, with a bounded memory of pieces; one a worker."""
+    """Ids of whole texts, with a bounded memory of pieces; one a worker.
+
+    A batch's pieces are found, hashed and looked up as arrays; only pieces not met before go to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memo = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
+        names = sorted(self.library.get_vocab().items(), key=lambda x: x[1])
+        self.bytes = np.zeros(names[-1][1] + 1, np.int64)  # each character of a byte-level name is one byte
+        self.bytes[[i for _, i in names]] = [len(n) for n, _ in names]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Two sorted tables of (hash, where its ids start, how many), a large and a recent one, and all ids."""
+        self.large = self.recent = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -62,24 +81,103 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of each hash; -1 for one not met yet."""
+        start, count = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        for keys, at, n in (self.large, self.recent):
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                on = keys[k] == h
+                start[on], count[on] = at[k[on]], n[k[on]]
+        return start, count
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        new = (h, self.used + np.cumsum(count) - count, count)
+        self.used += len(ids)
+
+        def both(x: tuple, y: tuple) -> tuple:
+            order = np.argsort(np.concatenate((x[0], y[0])), kind="stable")
+            return tuple(np.concatenate((p, q))[order] for p, q in zip(x, y, strict=True))
+
+        self.recent = both(self.recent, new)
+        if len(self.recent[0]) > RECENT:
+            self.large, self.recent = both(self.large, self.recent), tuple(x[:0] for x in self.recent)
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        """Pieces that open with a space are encoded in rows, and told apart again by the bytes of their ids."""
+        alone = np.array([p[0] != 32 or p[-1] < 33 for p in pieces])
+        single = np.flatnonzero(alone)
+        if len(single):
+            each = [e.ids for e in self.library.encode_batch_fast([pieces[i].decode("utf-8", "surrogatepass") for i in single], add_special_tokens=False)]
+            self._add(h[single], np.array(sum(each, []), np.int32), np.array([len(x) for x in each]))
+        rest = np.flatnonzero(~alone)
+        for r in range(0, len(rest), ROW):
+            row = rest[r : r + ROW]
+            own = [pieces[i] for i in row]
+            ids = np.array(self.library.encode_batch_fast([b"".join(own).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, np.int32)
+            ends, size = np.cumsum([len(p) for p in own]), np.cumsum(self.bytes[ids])
+            stop = np.searchsorted(size, ends) + 1
+            if len(size) < len(own) or not (size[np.minimum(stop, len(size)) - 1] == ends).all():  # ids that aren't spelled by bytes
+                each = [self.whole(p.decode("utf-8", "surrogatepass")) for p in own]
+                self._add(h[row], np.concatenate(each), np.array([len(x) for x in each]))
+            else:
+                self._add(h[row], ids, np.diff(stop, prepend=0))
+
     def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if _AWKWARD.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        memo = self.memo
-        new = list({p for p in pieces if p not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = tuple(e.ids)
-        out = np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.int32)
-        if len(memo) > MEMO:
-            memo.clear()
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = np.zeros(0, np.int32)
+            elif not t.isascii() and _EXOTIC.search(t):
+                out[i] = self.whole(t)
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        raws = [texts[i].encode("utf-8", "surrogatepass") for i in plain]
+        joined = b"\n".join([*raws, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(r) + 1 for r in raws]) - 1  # of the texts, where a line end stands
+        space, white = raw == 32, _WHITE[raw]
+        # A space beside white space, or at an end of its text (beside a separator): the text goes to the library whole.
+        beside = np.flatnonzero(space & (np.concatenate(([True], white[:-1])) | np.concatenate((white[1:], [True]))))
+        awkward = np.zeros(len(plain), bool)
+        awkward[np.searchsorted(ends, beside)] = True
+        heads = np.concatenate(([0], ends[:-1] + 1))
+        cut = space.copy()
+        cut[heads] = True
+        cut[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+        start = np.flatnonzero(cut)
+        of = np.searchsorted(ends, start)
+        stop = np.append(start[1:], len(raw))
+        last = np.append(of[1:] != of[:-1], True)
+        stop[last] -= 1
+        on = ~awkward[of] & (stop - start <= LONGEST)
+        long = np.unique(of[~on & ~awkward[of]])
+        awkward[long] = True
+        on &= ~awkward[of]
+        start, stop, of = start[on], stop[on], of[on]
+        h, first, back = np.unique(ranges(sums(raw), start, stop), return_index=True, return_inverse=True)
+        if len(self.large[0]) + len(self.recent[0]) + len(h) > MEMO:
+            self._forget()
+        begin, count = self._known(h)
+        new = np.flatnonzero(begin < 0)
+        if len(new):
+            self._learn(h[new], [joined[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+            begin, count = self._known(h)
+        begin, count = begin[back], count[back]
+        upto = np.cumsum(count)
+        flat = self.ids[np.repeat(begin - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
+        bounds = np.concatenate(([0], upto))[np.searchsorted(of, np.arange(len(plain) + 1))]
+        for k, i in enumerate(plain):
+            out[i] = self.whole(texts[i]) if awkward[k] else flat[bounds[k] : bounds[k + 1]]
         return out
 
 
@@ -102,8 +200,8 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
             )
 
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = np.append(encoder(t or ""), np.int32(END))
+            for i, own in zip(b.column("doc_id").to_pylist(), encoder.batch([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                own = np.append(own, np.int32(END))
                 ids.append(i), parts.append(own)
                 size += len(own)
                 if size >= block:
