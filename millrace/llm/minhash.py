@@ -249,30 +249,30 @@ def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first places of each set; a shingle alone in its cell meets nobody and is left out."""
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for node, root, s in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("s"), strict=True):
                 s = s.values.to_numpy()
                 n, f = len(s), often[s & (CELLS - 1)]
                 order = np.lexsort((s, f))[: n - -(-n * NUMERATOR // DENOMINATOR) + 1]
                 firsts = s[order[f[order] > 1]]
                 alone = len(order) - len(firsts)
-                for column, v in zip(rows, (node, root, n, firsts, alone, s if n <= ALONG else None), strict=True):
+                for column, v in zip(rows, (node, root, n, firsts, alone, firsts if n <= 4 * ALONG else None, s if n <= ALONG else None), strict=True):
                     column.append(v)
-            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "root", "n", "firsts", "alone", "set"])
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "root", "n", "places", "alone", "firsts", "set"])
 
-    # Small sets go along, so that the join itself compares them and only links come out of it; and of the
-    # shingles that two prefixes share only the first makes a pair.
-    placed = sets.mapInArrow(ranked, "node binary, root binary, n long, firsts array<bigint>, alone long, set array<bigint>")
-    shares = placed.select("*", F.posexplode("firsts").alias("at", "s")).withColumn("place", F.col("alone") + F.col("at") + 1)
+    # Small sets go along, so that the join itself compares them and only links come out of it; and of the shingles
+    # that two prefixes share only the first makes a pair. Large sets are not repeated for each of their shingles.
+    placed = sets.mapInArrow(ranked, "node binary, root binary, n long, places array<bigint>, alone long, firsts array<bigint>, set array<bigint>")
+    shares = placed.select("node", "root", "n", "firsts", "set", "alone", F.posexplode("places").alias("at", "s")).withColumn("place", F.col("alone") + F.col("at") + 1)
     fewer = shares.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * NUMERATOR / both) + 1)
     x, y = shares.alias("x"), fewer.alias("y")
     linked = F.size(F.array_intersect("x.set", "y.set")) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
     order = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
     reach = (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))) * both >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
-    first = F.get(F.array_intersect("y.firsts", "x.firsts"), F.lit(0)) == F.col("x.s")
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & reach & first & F.coalesce(linked, F.lit(True)))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    first = F.when(F.col("x.firsts").isNotNull() & F.col("y.firsts").isNotNull(), F.get(F.array_intersect("y.firsts", "x.firsts"), F.lit(0)) == F.col("x.s"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & order & reach & F.coalesce(first, F.lit(True)) & F.coalesce(linked, F.lit(True)))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
