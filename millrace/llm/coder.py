@@ -4,8 +4,9 @@ A block's ids are cut into lanes of equal length that step together as numpy arr
 range coder, and all lanes of a block share one model, which starts empty with the block. At each step the
 model predicts the next id of every lane in three ways: by order 0 (adaptive counts of ids), by order 1 and
 order 2 (the id that last followed the one or two ids before, with a confidence that grows with each hit).
-The three are mixed into one distribution by weights that are learned in the block for each pair of
-confidences. The coder narrows a 64-bit range by the id's share; the decoder repeats every step.
+The three share the range by weights that are learned in the block for each pair of confidences; an id
+is coded in the share of the highest order that has it right. The coder narrows a 64-bit range by the id's
+share; the decoder repeats every step.
 
 A block can be read without any other: header, lane sizes and words are covered by one CRC-32.
 """
@@ -56,36 +57,29 @@ class Model:
         self.w2, self.w1 = share[0][self.group], share[1][self.group]
         self.w0 = TOTAL - self.w1 - self.w2
 
-    def below(self, ids: np.ndarray) -> np.ndarray:
-        """Order 0's part of what lies below the ids."""
-        return self.upto[ids] * self.w0 >> TOTAL_BITS
-
     def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo = self.below(ids)
-        size = self.below(ids + 1) - lo + self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)
-        return lo + self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids), size
+        """Where the ids' shares begin, and their sizes: order 2's id first, then order 1's, then all by order 0."""
+        self.hit2, self.hit1 = self.p2 == ids, self.p1 == ids
+        start, size = np.where(self.hit2, 0, self.w2), np.where(self.hit2, self.w2, self.w1)
+        i = np.flatnonzero(~(self.hit2 | self.hit1))
+        own, w0 = ids[i], self.w0[i]
+        lo = self.upto[own] * w0 >> TOTAL_BITS
+        start[i] = TOTAL - w0 + lo
+        size[i] = (self.upto[own + 1] * w0 >> TOTAL_BITS) - lo
+        return start, size
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids in whose shares the points lie."""
-        swap = self.p1 > self.p2
-        a, b = np.where(swap, self.p2, self.p1), np.where(swap, self.p1, self.p2)
-        wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
-        one = a == b
-        wa, wb = np.where(one, wa + wb, wa), np.where(one, 0, wb)
-        over_a = at >= self.below(a + 1) + wa
-        is_a = ~over_a & (at >= self.below(a))
-        rest = np.where(over_a, at - wa, at)
-        over_b = over_a & (rest >= self.below(b + 1) + wb)
-        is_b = over_a & ~over_b & (rest >= self.below(b))
-        ids = np.where(is_a, a, b)
-        i = np.flatnonzero(~(is_a | is_b))
-        goal = np.where(over_b[i], rest[i] - wb[i], rest[i])
+        ids = np.where(at < self.w2, self.p2, self.p1)
+        i = np.flatnonzero(at >= TOTAL - self.w0)
+        w0 = self.w0[i]
+        goal = at[i] - (TOTAL - w0)
         # The largest id with upto * w0 >> TOTAL_BITS <= goal.
-        ids[i] = np.minimum(np.searchsorted(self.upto, ((((goal + 1) << TOTAL_BITS) - 1) // self.w0[i]).astype(np.int32), side="right") - 1, self.n - 1)
+        ids[i] = np.minimum(np.searchsorted(self.upto, ((((goal + 1) << TOTAL_BITS) - 1) // w0).astype(np.int32), side="right") - 1, self.n - 1)
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.p1 == ids, self.p2 == ids
+        hit1, hit2 = self.hit1, self.hit2
         kind = np.where(hit2, 0, np.where(hit1, 1, 2))
         self.seen += np.bincount(kind * self.seen.shape[1] + self.group, minlength=self.seen.size).reshape(self.seen.shape)
         for table, at, hit, old, sure in ((self.one, self.last1, hit1, self.p1, self.k1), (self.two, self.slot, hit2, self.p2, self.k2)):
