@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEADER = b"MRC1", "<4sIIII"
-LANES, STEPS, LAG = 8192, 256, 4  # lanes at most, ids of a lane at least, and steps from one update of order 0 to the next
+LANES, STEPS, LAG = 8192, 256, 16  # lanes at most, ids of a lane at least, and steps from one update of order 0 to the next at most
 TOTAL_BITS, LEAST_BITS, GAIN, SLOTS, SURE = 26, 23, 8, 2**18, 7
 TOTAL, LEAST = 1 << TOTAL_BITS, 1 << LEAST_BITS
 _32 = np.uint64(32)
@@ -33,6 +33,7 @@ class Model:
         self.n = vocabulary
         self.count = np.ones(vocabulary, np.int64)
         self.waiting: list[np.ndarray] = []
+        self.steps = 0
         self._scale()
         self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(SLOTS, np.int64)  # id * 8 + confidence
         self.seen = np.ones((3, 2 * (SURE + 1) ** 2), np.int64)  # order 2 right, order 1 right, neither
@@ -85,7 +86,8 @@ class Model:
         for table, at, hit, old, sure in ((self.one, self.last1, hit1, self.p1, self.k1), (self.two, self.slot, hit2, self.p2, self.k2)):
             table[at] = np.where(hit | (sure == 0), ids, old) << 3 | np.where(hit, np.minimum(sure + 1, SURE), sure >> 1)
         self.waiting.append(ids)
-        if len(self.waiting) == LAG:
+        self.steps += 1
+        if len(self.waiting) == min(LAG, self.steps // 2 + 1):
             self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.n)
             self.waiting = []
             self._scale()

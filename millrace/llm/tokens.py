@@ -8,7 +8,7 @@ leaves nothing behind.
 
 Texts are encoded by the `tokenizers` library. A worker keeps the ids of pieces that it met (at most
 `MEMO` of them, by a 64-bit hash): pieces end only between a character that is no white space and a single
-space that such a character follows, or between an ASCII letter and a mark, where the byte-level pre-tokenizer
+space that such a character follows, or between a letter and a mark, or around a single line end, where the byte-level pre-tokenizer
 always cuts, so pieces encode alone as they do in their text. Texts with other white space next to a space, or with pieces of more than `LONGEST`
 bytes, go to the library whole.
 
@@ -38,8 +38,10 @@ RECENT, ROW = 100_000, 4096
 
 #: White space that isn't ASCII, or that only some count as such.
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Between a letter and one of these marks the pre-tokenizer always cuts, too.
-_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes([*range(65, 91), *range(97, 123)])))
+#: Between a letter (ASCII, or of two bytes from U+00C0) and an ASCII mark but ' and | (of <|endoftext|>) the pre-tokenizer always cuts, too.
+_MARK, _LETTER, _SECOND = (
+    np.isin(np.arange(256), x) for x in ([*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), 123, 125, 126], [*range(65, 91), *range(97, 123)], [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
+)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _state: dict = {}
@@ -153,7 +155,15 @@ class Encoder:
         heads = np.concatenate(([0], ends[:-1] + 1))
         cut = space.copy()
         cut[heads] = True
-        cut[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+        marks = _MARK[raw]
+        cut[1:] |= marks[1:] & _LETTER[raw[:-1]]
+        cut[2:] |= marks[2:] & _SECOND[raw[1:-1]] & (raw[:-2] == 0xC3)
+        alone = raw == 10  # a line end between two characters that are no white space is a piece of its own
+        alone[ends] = False
+        alone[1:-1] &= ~white[:-2] & ~white[2:]
+        alone[[0, -1]] = False
+        cut |= alone
+        cut[1:] |= alone[:-1]
         start = np.flatnonzero(cut)
         of = np.searchsorted(ends, start)
         stop = np.append(start[1:], len(raw))

@@ -38,7 +38,7 @@ def test_coder_notices_damage():
 def test_pieces_encode_as_whole_texts():
     e = tokens.Encoder(tokens.default_tokenizer())
     rng = random.Random(3)
-    alphabet = ["a", "Ab", "the", " ", "  ", "\n", "\t", "'s", "'", "é", "日本", "1", "22", ".", "!!", " ", "\x1c", "<|endoftext|>", " x"]
+    alphabet = ["a", "Ab", "the", " ", "  ", "\n", "\t", "'s", "'", "é", "日本", "1", "22", ".", "!!", "$$", "ß", "é,", "Àb-", "_x", "×", "÷.", "'ll", "'Re", "`", "~", " ", "\x1c", "<|endoftext|>", " x"]
     for _ in range(400):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30)))
         assert e(t).tolist() == e.whole(t).tolist(), repr(t)
