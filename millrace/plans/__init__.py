@@ -1,3 +1,3 @@
 """Named queries of the engine, by area. Importing this registers them all."""
 
-from millrace.plans import curriculum, hygiene, text  # noqa: F401
+from millrace.plans import calculators, curriculum, hygiene, ledgers, packing, text  # noqa: F401

@@ -40,6 +40,15 @@ def test_against_sql(spark, duck, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(names, want.fetchall())
 
 
+@pytest.mark.parametrize(
+    ("policy", "want"), [("greedy", [0, 1, 0, 1, 2]), ("best_fit", [1, 0, 1, 0, 2]), ("long_context", [1, 0, 1, 0, 2])]
+)
+def test_bins(policy, want):
+    from millrace.plans.packing import fill
+
+    assert fill([5, 8, 4, 2, 3], policy, 10) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
