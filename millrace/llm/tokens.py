@@ -101,8 +101,8 @@ class Encoder:
         self.used += len(ids)
 
         def both(x: tuple, y: tuple) -> tuple:
-            order = np.argsort(np.concatenate((x[0], y[0])), kind="stable")
-            return tuple(np.concatenate((p, q))[order] for p, q in zip(x, y, strict=True))
+            at = np.searchsorted(x[0], y[0])  # both are sorted
+            return tuple(np.insert(p, at, q) for p, q in zip(x, y, strict=True))
 
         self.recent = both(self.recent, new)
         if len(self.recent[0]) > RECENT:
