@@ -1,6 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; on the JVM only.
 
-A candidate is a word (between white space) with a run of at least 16 characters of keys, digits among them.
+A candidate is a run of at least 16 characters of keys, digits among them; a word (between white space) has as
+many candidates as it has such runs, as in minified JSON, CSV or a URL. Each has its own lead: what stands before
+it in its word, from the last mark that ends a field (`FIELD`), or with the run before if no such mark is between
+them (a long name before its value). A run behind the first that has a name of its own in the word leaves the
+words before out; only a word's last run has the word behind.
 The forest judges it by its length, changes between kinds of characters, how much of it dictionary words
 cover, whether it looks like a path, an address, an identifier of a known form or a placeholder, and by the
 two words before and the word behind. It is fitted to a table of labelled findings; `labelled_findings` makes
@@ -9,7 +13,7 @@ forest, whose table of findings is bounded by `FINDINGS`.
 
 Nulls: a null or empty text has no candidates; a null id is kept as it is. Repeated rows each report their
 findings. Candidates are reported by place, length and digest, never by their characters. Other columns are
-ignored.
+ignored. `at` numbers the words, so candidates of one word share it.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from millrace.llm.common import documents, texts
 
 FINDINGS, TREES, DEPTH, SEED = 6_000, 24, 7, 11
 _KEY = r"[A-Za-z0-9_+/=.@:~\-]{16,}"
+FIELD = r",;&?#|"
 _COMMON = "http|https|www|com|org|net|example|test|sample|dummy|index|image|static|content|version|release|file|path|user|home|usr|lib|bin|src|main|data|docs|page|build|python|java|node|module|config|server|client|default|public|local|archive|backup|report|final|draft|document|table|value|name|number|mail|html|json|tar|zip|png|jpg|pdf|your|token|key|secret|password|change|me|alpha|beta|the|and|for|with"
 _SECRET_WORDS = r"(token|secret|passw|pwd|api.?key|access.?key|\bkey\b|auth|bearer|credential|private)"
 _PLAIN_WORDS = r"(commit|sha\d*|md5|checksum|hash|digest|etag|uuid|guid|build|version|order|card|phone|call|tel|iban|isbn|serial|invoice|revision|rev)"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, at (number of the word), candidate, before2, before1, after; one row for each."""
+    """doc_id, at (number of the word), candidate, lead, before2, before1, after; one row for each run with a digit."""
     words = F.split("text", r"[\x20\x09-\x0D]+")
     rows = texts(docs).select("doc_id", words.alias("w"))
 
@@ -41,9 +46,18 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     rows = rows.select("doc_id", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), fits)).alias("at"))
     near = lambda k: F.lower(F.coalesce(F.get("w", F.col("at") + k), F.lit("")))
-    return rows.select("doc_id", "at", F.get("w", F.col("at")).alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after")).select(
-        "doc_id", "at", F.regexp_extract("word", f"({_KEY})", 1).alias("candidate"), F.lower(F.regexp_extract("word", f"^(.*?){_KEY}", 1)).alias("lead"), "before2", "before1", "after"
-    )
+    rows = rows.select("doc_id", "at", F.get("w", F.col("at")).alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after"))
+    # Of run k: itself, what stands between it and the run before, and the run before; one more entry, without a run, ends a word.
+    runs = F.regexp_extract_all("word", F.lit(f"({_KEY})"), 1)
+    zipped = F.arrays_zip(runs.alias("candidate"), F.split("word", _KEY, -1).alias("between"), F.concat(F.array(F.lit("")), runs).alias("previous"))
+    rows = rows.select("doc_id", "at", "before2", "before1", "after", F.size(runs).alias("runs"), F.posexplode(zipped).alias("k", "run"))
+    rows = rows.where("run.candidate RLIKE '[0-9]'").select("doc_id", "at", "before2", "before1", "after", "runs", "k", "run.*")
+    field = F.regexp_extract("between", f"([^{FIELD}]*)$", 1)
+    lead = F.when((F.col("k") == 0), F.col("between")).when(field == F.col("between"), F.concat("previous", "between")).otherwise(field)
+    rows = rows.withColumn("lead", F.lower(lead))
+    named = (F.col("k") > 0) & (F.col("lead").rlike("[a-z=:]") | F.col("candidate").rlike("[=:][^=]"))
+    before = lambda c: F.when(named, F.lit("")).otherwise(F.col(c)).alias(c)
+    return rows.select("doc_id", "at", "candidate", "lead", before("before2"), before("before1"), F.when(F.col("k") == F.col("runs") - 1, F.col("after")).otherwise(F.lit("")).alias("after"))
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -137,7 +151,7 @@ def fit(findings: DataFrame) -> PipelineModel:
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, at, length, candidate_sha256, score, secret of every candidate of every row."""
     model = fit(labelled_findings(docs.sparkSession) if findings is None else findings)
-    table, _ = features(candidates(docs).where("candidate RLIKE '[0-9]'"))
+    table, _ = features(candidates(docs))
     score = vector_to_array("probability")
     return model.transform(table).select(
         "doc_id", F.col("at").cast("long").alias("at"), F.length("candidate").cast("long").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"),
