@@ -39,13 +39,18 @@ def pack_concat_chop(spark, sf):
     return concat_chop(items(spark, sf))
 
 
+def pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, off, n): long items in pieces of a window's length; a tail of a few tokens is dropped."""
+    rows = docs.select("doc_id", "lang", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(LENGTH).cast("long"))).alias("off"))
+    return rows.where((F.col("n") <= LENGTH) | (F.col("n") - F.col("off") >= LEAST_TAIL)).select("doc_id", "lang", "off", F.least(F.lit(LENGTH).cast("long"), F.col("n") - F.col("off")).alias("n"))
+
+
 @query("pack_chunk", f"""
 WITH {_ITEMS}, c AS (SELECT doc_id, n, unnest(range(0, n, {LENGTH})) AS off FROM it)
 SELECT doc_id, CAST(off AS BIGINT) AS off, CAST(least({LENGTH}, n - off) AS BIGINT) AS tokens FROM c WHERE n <= {LENGTH} OR n - off >= {LEAST_TAIL}""")
 def pack_chunk(spark, sf):
     """Long items in pieces of a window's length; a tail of a few tokens is dropped."""
-    rows = items(spark, sf).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(LENGTH).cast("long"))).alias("off"))
-    return rows.where((F.col("n") <= LENGTH) | (F.col("n") - F.col("off") >= LEAST_TAIL)).select("doc_id", "off", F.least(F.lit(LENGTH).cast("long"), F.col("n") - F.col("off")).alias("tokens"))
+    return pieces(items(spark, sf)).select("doc_id", "off", F.col("n").alias("tokens"))
 
 
 @query("pack_pad_only", f"WITH {_ITEMS} SELECT doc_id, CAST(least(n, {LENGTH}) AS BIGINT) AS occupied, CAST({LENGTH} - least(n, {LENGTH}) AS BIGINT) AS pad, n > {LENGTH} AS truncated FROM it")
@@ -60,7 +65,10 @@ def fill(sizes: list[int], policy: str, length: int = LENGTH) -> list[int]:
     bins = [-1] * len(sizes)
     order = list(range(len(sizes))) if policy == "greedy" else sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     if policy == "long_context":
-        left = order
+        left = [i for i in order if sizes[i] < length]
+        for i in order[: len(order) - len(left)]:  # full ones stand first, and leave no room
+            bins[i] = len(room)
+            room.append(0)
         while left:
             space, rest = length, []
             for i in left:
@@ -71,25 +79,31 @@ def fill(sizes: list[int], policy: str, length: int = LENGTH) -> list[int]:
             room.append(space)
             left = rest
         return bins
+    open_: list[int] = []  # bins that have room left, in order
     for i in order:
-        fits = [b for b, r in enumerate(room) if r >= sizes[i]]
+        fits = [b for b in open_ if room[b] >= sizes[i]]
         b = fits[0] if fits and policy == "greedy" else min(fits, key=lambda b: (room[b], b)) if fits else len(room)
         if b == len(room):
             room.append(length)
+            open_.append(b)
         room[b] -= sizes[i]
+        if not room[b]:
+            open_.remove(b)
         bins[i] = b
     return bins
 
 
 def packed(docs: DataFrame, policy: str) -> DataFrame:
-    """(lang, grp, bin, doc_id, tokens): bins are filled inside groups of GROUP neighbouring ids, so a group's size is bounded.
+    """(lang, grp, bin, doc_id, off, tokens, truncated): bins are filled inside groups of GROUP neighbouring ids.
 
-    `structure` gives items that fill a window a bin of their own, behind the others.
+    Documents come in `pieces`, none of which is longer than a window. Of an item that is (a sample that must
+    not be cut in pieces) a window's length is placed, and `truncated` says so; `structure` gives such items a
+    bin of their own, behind the others.
     """
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id").reset_index(drop=True)
-        rows["tokens"] = rows["n"].clip(upper=LENGTH)
+        rows = rows.sort_values(["doc_id", "off"]).reset_index(drop=True)
+        rows["tokens"], rows["truncated"] = rows["n"].clip(upper=LENGTH), rows["n"] > LENGTH
         if policy == "structure":
             long = rows["n"] > LENGTH
             short = fill(rows.loc[~long, "tokens"].tolist(), "best_fit")
@@ -97,33 +111,33 @@ def packed(docs: DataFrame, policy: str) -> DataFrame:
             rows.loc[long, "bin"] = [max(short, default=-1) + 1 + k for k in range(int(long.sum()))]
         else:
             rows["bin"] = fill(rows["tokens"].tolist(), policy)
-        return rows.assign(grp=key[1], bin=rows["bin"].astype("int64"))[["lang", "grp", "bin", "doc_id", "tokens"]]
+        return rows.assign(grp=key[1], bin=rows["bin"].astype("int64"))[["lang", "grp", "bin", "doc_id", "off", "tokens", "truncated"]]
 
     grouped = docs.withColumn("grp", F.floor(F.col("doc_id") / GROUP)).groupBy("lang", "grp")
-    return grouped.applyInPandas(one, "lang string, grp long, bin long, doc_id long, tokens long")
+    return grouped.applyInPandas(one, "lang string, grp long, bin long, doc_id long, off long, tokens long, truncated boolean")
 
 
 @query("pack_greedy")
 def pack_greedy(spark, sf):
     """First fit in order of arrival."""
-    return packed(items(spark, sf), "greedy")
+    return packed(pieces(items(spark, sf)), "greedy")
 
 
 @query("pack_best_fit")
 def pack_best_fit(spark, sf):
     """Longest first, each in the tightest bin."""
-    return packed(items(spark, sf), "best_fit")
+    return packed(pieces(items(spark, sf)), "best_fit")
 
 
 @query("pack_structure")
 def pack_structure(spark, sf):
-    return packed(items(spark, sf), "structure")
+    return packed(pieces(items(spark, sf)), "structure")
 
 
 @query("pack_long_context")
 def pack_long_context(spark, sf):
     """The longest item anchors a bin, which what still fits fills up."""
-    return packed(items(spark, sf), "long_context")
+    return packed(pieces(items(spark, sf)), "long_context")
 
 
 POLICIES = ("greedy", "best_fit", "structure", "long_context")
@@ -133,13 +147,26 @@ POLICIES = ("greedy", "best_fit", "structure", "long_context")
 WITH {_ITEMS}, p AS (SELECT unnest(['greedy', 'best_fit', 'structure', 'long_context']) AS policy), t AS (SELECT count(*) AS items, sum(least(n, {LENGTH})) AS tokens FROM it)
 SELECT policy, CAST(items AS BIGINT) AS items, CAST(tokens AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS placed_twice FROM p, t""")
 def pack_verify(spark, sf):
-    """Of each policy: items and tokens placed, bins over their capacity, items in more than one bin."""
-    docs, out = items(spark, sf), None
+    """Of each policy, items uncut and truncated to a window: items and tokens placed, bins over their capacity, items in more than one bin."""
+    return placed(items(spark, sf).withColumn("off", F.lit(0).cast("long"))).drop("truncated")
+
+
+@query("pack_verify_pieces", f"""
+WITH {_ITEMS}, c AS (SELECT n, unnest(range(0, n, {LENGTH})) AS off FROM it), p AS (SELECT unnest(['greedy', 'best_fit', 'structure', 'long_context']) AS policy),
+t AS (SELECT count(*) AS items, sum(least({LENGTH}, n - off)) AS tokens FROM c WHERE n <= {LENGTH} OR n - off >= {LEAST_TAIL})
+SELECT policy, CAST(items AS BIGINT) AS items, CAST(tokens AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS truncated, CAST(0 AS BIGINT) AS placed_twice FROM p, t""")
+def pack_verify_pieces(spark, sf):
+    """The same of the pieces that the policies' queries pack: all of them are placed whole."""
+    return placed(pieces(items(spark, sf)))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    out = None
     for policy in POLICIES:
         rows = packed(docs, policy)
-        bins = rows.groupBy("lang", "grp", "bin").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
-        twice = rows.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("placed_twice"))
-        one = bins.agg(F.lit(policy).alias("policy"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > LENGTH).alias("over_full")).crossJoin(twice)
+        bins = rows.groupBy("lang", "grp", "bin").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.count_if("truncated").alias("truncated"))
+        twice = rows.groupBy("doc_id", "off").count().where("count > 1").agg(F.count("*").alias("placed_twice"))
+        one = bins.agg(F.lit(policy).alias("policy"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > LENGTH).alias("over_full"), F.sum("truncated").alias("truncated")).crossJoin(twice)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -49,6 +49,22 @@ def test_bins(policy, want):
     assert fill([5, 8, 4, 2, 3], policy, 10) == want
 
 
+@pytest.mark.parametrize("policy", ["greedy", "best_fit", "structure", "long_context"])
+def test_policies_place_whole_documents(spark, policy):
+    """Each document's tokens are placed once, but for a tail under 16 tokens."""
+    from millrace.plans.packing import items
+
+    size = {r.doc_id: r.n for r in items(spark, SF).collect()}
+    spans = {}
+    for r in registry.QUERIES[f"pack_{policy}"](spark, SF).collect():
+        assert not r.truncated
+        spans.setdefault(r.doc_id, []).append((r.off, r.off + r.tokens))
+    assert any(n > 256 for n in size.values()) and spans.keys() == size.keys()
+    for i, n in size.items():
+        own = sorted(spans[i])
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and (own[-1][1] == n or n > 256 and 0 < n - own[-1][1] < 16)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
