@@ -271,25 +271,49 @@ def cut_out(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; the others lose the words of an item that they hold."""
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of half-open runs; runs that touch become one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(runs):
+        if out and out[-1][1] >= lo:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def stage(spark, docs: DataFrame, sf_dir: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pipeline stage: contaminated documents go; the others lose the words of an item that they hold.
+
+    With several blocks the spans of each are found in the whole text and kept beside it; the last
+    block's pass joins them, decides and cuts once.
+    """
     small_batches(spark)
-    items, n = _blocks(table(spark, sf_dir, "benchmark"), BLOCK_BYTES)
-    for k in range(n):  # a block's words are cut before the next block is looked for
+    items, n = _blocks(table(spark, sf_dir, "benchmark"), block_bytes)
+    names, kept = docs.columns, "millrace_spans"
+    if n > 1:
+        docs = docs.withColumn(kept, F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"))
+    for k in range(n):
         if k:
             docs = materialize(spark, docs, "decontaminated")
         phrases = Phrases(sorted(((r["item_id"], r["text"]) for r in items.where(F.col("block") == k).collect()), key=lambda x: (str(x[0]), x[1])))
 
-        def cleaned(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+        def cleaned(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, last: bool = k == n - 1) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
                 own = b.column("text").to_pylist()
                 shard = [words(t or "") for t in own]
                 runs = [spans(m) for m, _ in hits(shard, phrases)]
+                columns = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+                if kept in columns:
+                    runs = [joined([(x["lo"], x["hi"]) for x in old] + r) for old, r in zip(columns.pop(kept).to_pylist(), runs, strict=True)]
+                if not last:
+                    columns[kept] = pa.array([[{"lo": x, "hi": y} for x, y in r] for r in runs], b.schema.field(kept).type)
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    continue
                 size = [sum(y - x for x, y in r) for r in runs]
                 new = [cut_out(t, r) if r else t for t, r in zip(own, runs, strict=True)]
-                columns = {f.name: b.column(i) for i, f in enumerate(b.schema)}
                 columns["text"] = pa.array(new, b.schema.field("text").type)
                 if "n_chars" in columns:
                     old = columns["n_chars"].to_pylist()
@@ -297,7 +321,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 keep = [not s or CONTAMINATED * s < len(w) for s, w in zip(size, shard, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(cleaned, docs.schema)
+        docs = docs.mapInArrow(cleaned, docs.select(names).schema if k == n - 1 else docs.schema)
     return docs
 
 

@@ -115,6 +115,23 @@ def test_decontaminate_against_brute_force(spark):
     assert {(r.n_hit, r.contaminated) for r in none.collect()} == {(0, False)}
 
 
+def test_stage_does_not_depend_on_blocks(spark, tmp_path):
+    """Documents hit by items of several blocks: by a little of each, and by windows that overlap."""
+    own = [[f"i{k}x{j}" for j in range(14)] for k in range(24)]
+    items = [(k, " ".join(w)) for k, w in enumerate(own)] + [(100 + k, " ".join([*own[k][5:], *own[k + 1][:6]])) for k in range(23)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rest = [f"r{j}" for j in range(1400)]
+    texts = [" ".join([*rest[:300], *own[k], *rest[300:500], *own[k + 8], *rest[500 : 500 + more]]) for k in range(8) for more in (0, 400)]
+    texts += [" ".join([*rest[:500], *own[k], *own[k + 1], *rest[500:1400]]) for k in range(8)] + [" ".join(rest), "", None, " ".join(own[3])]
+    rows = [(i, t, None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1], (None, texts[3], 5)], "doc_id long, text string, n_chars long")
+    whole, small = (sorted(map(tuple, decontaminate.stage(spark, docs, str(tmp_path), size).collect()), key=str) for size in (8_000_000, 900))
+    assert decontaminate._blocks(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), 900)[1] > 3
+    assert small == whole
+    assert 0 < len(whole) < len(rows) + 3
+    assert not any(re.search(r"i[0-9]+x", t or "") for _, t, _ in whole)
+
+
 def test_fm_index_on_periodic_text():
     rng = random.Random(1)
     for _ in range(50):
