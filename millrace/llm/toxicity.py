@@ -4,8 +4,8 @@ A term is a run of letters, in lower case, or the start of a longer one (words o
 endings), hashed into 2**18 buckets; its value grows with the number of times that the
 text has it. Besides a weight per bucket the machine learns a short
 vector per bucket, whose inner products are the weights of pairs: two mild terms may together say
-what neither says alone. Buckets that tell nothing of the label are dropped by a chi-squared test
-before the fit. The fit runs on the driver over a bounded sample of labelled rows (`most`); whole
+what neither says alone. Buckets are kept that tell something of the label by a chi-squared test, alone
+or in a pair with any other bucket (`interacting`); the rest are dropped before the fit. The fit runs on the driver over a bounded sample of labelled rows (`most`); whole
 texts are read both then and when scoring. Labels, language, source and id are no inputs.
 
 Nulls: a null text counts as empty, and scores by the intercept as a text without known terms
@@ -31,7 +31,9 @@ from millrace.llm.common import documents, id_remainder, labelled_sample, small_
 
 #: Labelled rows that a fit reads at most.
 FIT_ROWS = 12_000
-BUCKETS, TERMS, FACTORS, EPOCHS, LEAST_TEXTS, LEAST_CHI = 2**18, 4096, 6, 24, 4, 12.0
+BUCKETS, FACTORS, EPOCHS, LEAST_TEXTS, LEAST_CHI = 2**18, 6, 24, 4, 12.0
+#: Of a pair; larger, as there are very many pairs. Buckets that are held against others at once.
+PAIR_CHI, PAIR_BLOCK = 60.0, 1024
 PARTS = (5, 6, 7)
 #: Terms whose bucket a worker keeps in mind; beyond, it starts anew.
 MEMO = 400_000
@@ -78,6 +80,56 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def interacting(rows: np.ndarray, columns: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets of pairs whose texts have label 1 oftener than either bucket's, or both by independent odds, let expect.
+
+    A pair of h texts of label 1 reaches at most the chi-squared of h texts that all have it, so buckets
+    with fewer such texts than PAIR_CHI asks for are in no pair; all pairs of the others are counted.
+    """
+    n = len(y)
+    prior = float(y.mean())
+    seen, hit = np.bincount(columns, minlength=BUCKETS), np.bincount(columns, y[rows], BUCKETS)
+    able = np.flatnonzero(hit * (1 - prior) >= PAIR_CHI * prior)
+    if len(able) < 2:
+        return able[:0]
+    where = np.full(BUCKETS, -1)
+    where[able] = np.arange(len(able))
+    inside = where[columns] >= 0
+    rows, columns = rows[inside], where[columns[inside]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    logit = lambda r: np.log(r / (1 - r))
+    rate = np.clip(hit[able] / seen[able], 0.5 / (n + 1), 1 - 0.5 / (n + 1))
+    odds, found = logit(rate), np.zeros(len(able), bool)
+
+    def dense(lo: int) -> np.ndarray:
+        a, b = np.searchsorted(columns, (lo, lo + PAIR_BLOCK))
+        out = np.zeros((n, min(PAIR_BLOCK, len(able) - lo)), np.float32)
+        out[rows[a:b], columns[a:b] - lo] = 1
+        return out
+
+    of_one = np.flatnonzero(y > 0)
+    for lo in range(0, len(able), PAIR_BLOCK):
+        left = dense(lo)
+        one = left[of_one]
+        for at in range(lo, len(able), PAIR_BLOCK):
+            right = left if at == lo else dense(at)
+            h = one.T @ right[of_one]
+            i, j = np.nonzero(h * (1 - prior) >= PAIR_CHI * prior)
+            apart = lo + i < at + j
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            h, both = h[i, j].astype(float), (left.T @ right)[i, j].astype(float)
+            i, j = lo + i, at + j
+            expected = np.maximum(np.maximum(np.maximum(rate[i], rate[j]), _sigmoid(odds[i] + odds[j] - logit(prior))), prior)
+            expected = np.minimum(expected, 1 - 0.5 / (n + 1))
+            over = h - both * expected
+            far = (over > 0) & (over * over >= PAIR_CHI * both * expected * (1 - expected))
+            found[i[far]] = found[j[far]] = True
+    return able[found]
+
+
 def fit_machine(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> Machine:
     """From bags (buckets, counts) and labels; AdaGrad on the logistic loss."""
     none = Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
@@ -94,8 +146,7 @@ def fit_machine(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed:
     hit, seen = np.bincount(columns, y[rows], BUCKETS), np.bincount(columns, minlength=BUCKETS).astype(float)
     spread = np.maximum(n * prior * (1 - prior) * (seen / n) * (1 - seen / n), 1e-9)
     chi = np.where(seen >= LEAST_TEXTS, (hit - seen * prior) ** 2 / spread, 0)
-    kept = np.sort(np.lexsort((np.arange(BUCKETS), -chi))[:TERMS])
-    kept = kept[chi[kept] >= LEAST_CHI]
+    kept = np.union1d(np.flatnonzero(chi >= LEAST_CHI), np.union1d(interacting(rows, columns, y), interacting(rows, columns, 1 - y)))
     if not len(kept):
         return none
     where = np.full(BUCKETS, -1)

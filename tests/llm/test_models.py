@@ -81,6 +81,18 @@ def test_factorization_machine_learns_a_pair():
     assert len(m.buckets) == 1 or auc(y, m.margin(rows, np.minimum(columns, len(m.buckets) - 1), np.ones(len(rows)), 3000)) > 0.9
 
 
+def test_factorization_machine_learns_a_pair_of_neutral_terms():
+    """The same without a term for the pair: only the two factor vectors can tell."""
+    rng = np.random.default_rng(0)
+    a, b = rng.random(3000) < 0.5, rng.random(3000) < 0.5
+    y = np.where(rng.random(3000) < 0.02, a != b, a == b).astype(float)
+    bags = [(np.array([k for k, on in ((5, i), (9, j)) if on], int), np.ones(int(i) + int(j), int)) for i, j in zip(a, b)]
+    m = toxicity.fit_machine(bags, y)
+    assert m.buckets.tolist() == [5, 9]
+    rows, columns = np.repeat(np.arange(3000), [len(x) for x, _ in bags]), np.searchsorted(m.buckets, np.concatenate([x for x, _ in bags]))
+    assert auc(y, m.margin(rows, columns, np.ones(len(rows)), 3000)) > 0.9
+
+
 def test_trees_walk_like_a_loop():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, len(quality.STATISTICS)))
