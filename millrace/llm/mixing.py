@@ -50,7 +50,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -
         .withColumn("rest", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("total", F.sum("source_size").over(everyone))
         .withColumn("level", (F.col("total") * F.lit(share) - F.col("held") * F.lit(most)) / F.col("rest"))
-        .withColumn("water", F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everyone))
+        # The level rises while sources are held at their limit; the first that isn't held has the highest, which is the common one.
+        .withColumn("water", F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everyone))
     )
     target = F.when(F.col("water").isNull() | (F.col("ratio") <= F.col("water")), limit).otherwise(F.col("weight") * F.col("water"))
     return levels.select("source", "source_size", target.cast("double").alias("target"))
@@ -85,7 +86,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
         .withColumn("ahead", F.col("base") + F.sum("size").over(running))
     )
     queued = materialize(spark, queued, "mix-queue")
-    budget = targets.agg(F.sum("target")).first()[0] or 0.0
+    # What the targets sum up to, without the rounding of a sum in changing order.
+    budget = min(SHARE, MOST) * (targets.agg(F.sum("source_size")).first()[0] or 0)
 
     # The cut in virtual time: copies finish in (0, 1] or soon after; in which range do the words reach the budget?
     copies = queued.where("size > 0 AND target > 0").select(
@@ -150,22 +152,23 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-#: The same by windows over the whole table.
+#: Targets by resharing the excess round by round, and the queue by windows over the whole table.
 SQL = {
     "op2_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, sha256('mix:' || doc_id) AS key FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, sha256('mix:' || doc_id) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(rank % 3 + 1 AS INT)] AS weight FROM s),
-l AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio FROM w),
-m AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
-      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM l),
-n AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS water FROM m),
-t AS (SELECT source, source_size, CASE WHEN water IS NULL OR ratio <= water THEN source_size * 2.0::DOUBLE ELSE weight * water END AS target FROM n),
+b AS (SELECT sum(source_size) * 1.5::DOUBLE AS budget FROM w),
+f(k, level) AS (SELECT 0, (SELECT budget FROM b) / (SELECT sum(weight) FROM w)
+  UNION ALL SELECT k + 1, next FROM (
+    SELECT f.k, f.level, (b.budget - 2.0::DOUBLE * sum(CASE WHEN w.source_size * 2.0::DOUBLE <= w.weight * f.level THEN w.source_size ELSE 0 END))
+      / sum(CASE WHEN w.source_size * 2.0::DOUBLE > w.weight * f.level THEN w.weight END) AS next FROM f, w, b GROUP BY f.k, f.level, b.budget) WHERE next > level),
+t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, weight * (SELECT arg_max(level, k) FROM f)) AS target FROM w),
 q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, 1 AS round, ahead / target AS time FROM q WHERE size > 0 UNION ALL SELECT *, 2, (source_size + ahead) / target FROM q WHERE size > 0),
 r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY time, source IS NULL, source, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-k AS (SELECT doc_id, count(*) AS copies FROM r WHERE before < (SELECT sum(target) FROM t) GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS copies FROM r WHERE before < (SELECT budget FROM b) GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies, 0) AS BIGINT) AS taken, CAST(coalesce(copies, 0) AS INTEGER) AS copies FROM q LEFT JOIN k USING (doc_id)
 """
 }

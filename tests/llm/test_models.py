@@ -121,7 +121,7 @@ def brute_mix(rows):
         w = sum(weight[s] for s in free)
         over = {s for s in free if left * weight[s] / w >= 2 * held[s]}
         if not over:
-            target.update({s: left * weight[s] / w for s in free})
+            target.update({s: weight[s] * (left / w) for s in free})
             break
         target.update({s: 2.0 * held[s] for s in over})
         left -= sum(2 * held[s] for s in over)
