@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[ \t\n\r]+"
@@ -34,22 +34,36 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), done).otherwise(text)
 
 
+_EDGES = _STRIP.replace("\\n", "")
+
+
 def normalize(text) -> Column:
-    """Unescape, NFC, drop noise and control characters, collapse spaces and blank lines, strip lines and text."""
+    """Unescape, NFC, drop noise and control characters, collapse spaces and blank lines, strip lines and text.
+
+    Costly: name it in a projection of its own (`with_normal`) where more than one column is made from it.
+    """
     t = nfc(unescape(col(text)))
     t = F.translate(t, NOISE, "")
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, r"[ \t  - 　]+", " ")
+    t = F.regexp_replace(t, r"[ \t\u00A0\u2000-\u200A\u3000]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return strip(F.array_join(F.transform(F.split(t, "\n"), strip), "\n"))
+    return strip(F.regexp_replace(t, f"(?<=\n){_EDGES}|{_EDGES}(?=\n)", ""))
+
+
+def with_normal(df: DataFrame, text: str = "text", name: str = "t") -> DataFrame:
+    """Adds the normalised text, computed once a row: the calls by reflection keep the optimizer from repeating it."""
+    return df.withColumn(name, normalize(text))
 
 
 def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def ngrams(items: Column, n: int = 8, stride: int = 4) -> Column:
-    """Distinct runs of n items at every stride-th place; none if there are fewer than n."""
+def ngrams(items: str, n: int = 8, stride: int = 4) -> Column:
+    """Distinct runs of n items at every stride-th place; none if there are fewer than n.
+
+    `items` names a column: an expression here would be evaluated again for every run.
+    """
     many = F.size(items)
     starts = F.when(many >= n, F.sequence(F.lit(1), many - (n - 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " ")))

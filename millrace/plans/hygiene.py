@@ -13,10 +13,19 @@ from millrace.session import materialize, table
 NEAR, CONTAMINATED, LEAST_SHARED, CONTAINED = 0.8, 0.35, 4, 0.8
 
 
+def fingerprint_sets(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
+    """(key, g): the distinct 8-grams of each row's words as 64-bit hashes. Words and grams are each made once."""
+    worded = df.select(F.col(key), T.words("text").alias("w"))
+    return worded.select(key, F.transform(T.ngrams("w", 8, stride), lambda x: F.xxhash64(x)).alias("g"))
+
+
+def exploded(sets: DataFrame, key: str) -> DataFrame:
+    return sets.select(key, F.size("g").cast("long").alias("size"), F.explode("g").alias("gram"))
+
+
 def fingerprints(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
-    """(key, gram, size): the distinct 8-grams of each row's words as 64-bit hashes, and how many it has."""
-    grams = T.ngrams(T.words("text"), 8, stride)
-    return df.select(F.col(key), grams.alias("g")).select(key, F.size("g").cast("long").alias("size"), F.explode("g").alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    """(key, gram, size): one row a gram, with how many its row has."""
+    return exploded(fingerprint_sets(df, key, stride), key)
 
 
 def near_pairs(docs: DataFrame, least: float = NEAR, stride: int = 4) -> DataFrame:
@@ -24,12 +33,12 @@ def near_pairs(docs: DataFrame, least: float = NEAR, stride: int = 4) -> DataFra
 
     Documents of one text are one node (the first of them), so copies don't pair off. A document's grams are
     ordered by rarity; two sets of similarity `least` share one of their first size - ceil(least * size) + 1
-    grams, so only those are joined (prefix filter), and common passages rarely are among them. What meets is
-    compared on all grams.
+    grams, so only those are joined (prefix filter), and common passages rarely are among them. Pairs that meet are
+    compared once, on both sets as arrays.
     """
     first = docs.groupBy(F.xxhash64("text").alias("h"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    grams = fingerprints(docs.join(first, "doc_id", "left_semi"), "doc_id", stride)
-    grams = materialize(docs.sparkSession, grams, "grams")
+    sets = materialize(docs.sparkSession, fingerprint_sets(docs.join(first, "doc_id", "left_semi"), "doc_id", stride), "grams")
+    grams = exploded(sets, "doc_id")
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     ranked = grams.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram")))
     lonely = F.col("size") - F.count("*").over(Window.partitionBy("doc_id"))  # grams that no other has come before all
@@ -37,9 +46,10 @@ def near_pairs(docs: DataFrame, least: float = NEAR, stride: int = 4) -> DataFra
     a, b = prefix.alias("a"), prefix.alias("b")
     sizes = (F.col("b.size") >= F.col("a.size") * least) & (F.col("a.size") >= F.col("b.size") * least)
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") < F.col("b.doc_id")) & sizes).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    left = met.join(grams.select(F.col("doc_id").alias("a"), "gram", F.col("size").alias("na")), "a")
-    both = left.join(grams.select(F.col("doc_id").alias("b"), "gram", F.col("size").alias("nb")), ["b", "gram"])
-    out = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    left = met.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+    shared = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
+    out = shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
     return out.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
 
 

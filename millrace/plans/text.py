@@ -143,8 +143,8 @@ b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(translat
 c AS (SELECT doc_id, text, trim(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM b)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest, t <> text AS changed FROM c""")
 def fn_normalize_text(spark, sf):
-    t = T.normalize("text")
-    return table(spark, sf, "documents").select("doc_id", F.char_length(t).cast("long").alias("chars"), F.sha2(t.cast("binary"), 256).alias("digest"), (t != F.col("text")).alias("changed"))
+    t = F.col("t")
+    return T.with_normal(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.char_length(t).cast("long").alias("chars"), F.sha2(t.cast("binary"), 256).alias("digest"), (t != F.col("text")).alias("changed"))
 
 
 @query("fn_clean_counters", r"""
@@ -306,8 +306,8 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELEC
 WITH {ngram_sql(4)}, n AS (SELECT doc_id, count(*) AS n FROM dg GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS ngrams FROM dw LEFT JOIN n USING (doc_id)""")
 def fn_ngram_fingerprint(spark, sf):
-    w = T.words("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("tokens"), F.size(T.ngrams(w)).cast("long").alias("ngrams"))
+    rows = table(spark, sf, "documents").select("doc_id", T.words("text").alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size(T.ngrams("w")).cast("long").alias("ngrams"))
 
 
 @query("fn_quality_components", f"""
