@@ -1,12 +1,14 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 A block's ids are cut into lanes of equal length that step together as numpy arrays; each lane has its own
-range coder, and all lanes of a block share one model, which starts empty with the block. At each step the
-model predicts the next id of every lane in three ways: by order 0 (adaptive counts of ids), by order 1 and
-order 2 (the id that last followed the one or two ids before, with a confidence that grows with each hit).
-The three share the range by weights that are learned in the block for each pair of confidences; an id
-is coded in the share of the highest order that has it right. The coder narrows a 64-bit range by the id's
-share; the decoder repeats every step.
+range coder, and all lanes of a block share one model, which starts empty with the block. At each step three
+predictors give the next id of every lane a probability: order 0 (adaptive counts of all ids), order 1 and order 2 (the
+id that last followed the one or two ids before, with a confidence that grows with each hit). The mixture adds
+them up: an id's share is its part of order 0's weight, and the weights of the orders 1 and 2 on top if it is the id
+that they predict. In the range ids stand in their own order, so the share of an id begins at what order 0
+gives the ids before it, and the weights of predictions that are smaller ids. Weights are learned in the block for each pair
+of confidences, each order by its part in the shares of the ids that came. The coder narrows a
+64-bit range by the id's share; the decoder repeats every step. All sums are of whole numbers, so both sides agree.
 
 A block can be read without any other: header, lane sizes and words are covered by one CRC-32.
 """
@@ -22,6 +24,7 @@ MAGIC, HEADER = b"MRC1", "<4sIIII"
 LANES, STEPS, LAG = 8192, 256, 16  # lanes at most, ids of a lane at least, and steps from one update of order 0 to the next at most
 TOTAL_BITS, LEAST_BITS, GAIN, SLOTS, SURE = 26, 23, 8, 2**18, 7
 TOTAL, LEAST = 1 << TOTAL_BITS, 1 << LEAST_BITS
+PART = 256  # of a share, in which the parts of orders are counted
 _32 = np.uint64(32)
 _LOW32 = np.uint64(2**32 - 1)
 
@@ -36,7 +39,7 @@ class Model:
         self.steps = 0
         self._scale()
         self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(SLOTS, np.int64)  # id * 8 + confidence
-        self.seen = np.ones((3, 2 * (SURE + 1) ** 2), np.int64)  # order 2 right, order 1 right, neither
+        self.earned = np.full((3, 2 * (SURE + 1) ** 2), PART, np.int64)  # by order 2, order 1 and order 0
 
     def _scale(self) -> None:
         """Shares of ids in TOTAL; each at least TOTAL / LEAST, so none vanishes under the least weight of order 0."""
@@ -54,27 +57,39 @@ class Model:
         one, two = self.one[last1], self.two[self.slot]
         self.p1, self.p2, self.k1, self.k2 = one >> 3, two >> 3, one & 7, two & 7
         self.group = (self.k2 * (SURE + 1) + self.k1) * 2 + (self.p1 == self.p2)
-        share = (self.seen[:2] * (TOTAL - LEAST)) // self.seen.sum(axis=0)
+        share = (self.earned[:2] * (TOTAL - LEAST)) // self.earned.sum(axis=0)
         self.w2, self.w1 = share[0][self.group], share[1][self.group]
         self.w0 = TOTAL - self.w1 - self.w2
 
+    def _before(self, ids: np.ndarray, w0: np.ndarray) -> np.ndarray:
+        """What order 0 gives the ids before these."""
+        return self.upto[ids] * w0 >> TOTAL_BITS
+
     def share(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids' shares begin, and their sizes: order 2's id first, then order 1's, then all by order 0."""
+        """Where the ids' shares begin, and their sizes."""
         self.hit2, self.hit1 = self.p2 == ids, self.p1 == ids
-        start, size = np.where(self.hit2, 0, self.w2), np.where(self.hit2, self.w2, self.w1)
-        i = np.flatnonzero(~(self.hit2 | self.hit1))
-        own, w0 = ids[i], self.w0[i]
-        lo = self.upto[own] * w0 >> TOTAL_BITS
-        start[i] = TOTAL - w0 + lo
-        size[i] = (self.upto[own + 1] * w0 >> TOTAL_BITS) - lo
-        return start, size
+        start = self._before(ids, self.w0)
+        self.part0 = self._before(ids + 1, self.w0) - start
+        self.size = self.part0 + self.w2 * self.hit2 + self.w1 * self.hit1
+        return start + self.w2 * (self.p2 < ids) + self.w1 * (self.p1 < ids), self.size
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids in whose shares the points lie."""
-        ids = np.where(at < self.w2, self.p2, self.p1)
-        i = np.flatnonzero(at >= TOTAL - self.w0)
-        w0 = self.w0[i]
-        goal = at[i] - (TOTAL - w0)
+        ids = self.p2.copy()
+        same = self.p1 == ids
+        lo = self._before(ids, self.w0)
+        start = lo + np.where(self.p1 < ids, self.w1, 0)
+        end = start + self._before(ids + 1, self.w0) - lo + self.w2 + np.where(same, self.w1, 0)
+        i = np.flatnonzero((at < start) | (at >= end))
+        # Not order 2's id: is it order 1's?
+        p1, w0, w1, at, w2 = self.p1[i], self.w0[i], self.w1[i], at[i], np.where(at[i] < start[i], 0, self.w2[i])
+        lo = self._before(p1, w0)
+        left = at - w2
+        ids[i] = p1
+        k = np.flatnonzero((left < lo) | (left >= self._before(p1 + 1, w0) + w1) | same[i])
+        # Neither: what lies before the point in order 0, the weights of smaller ids left out, is looked up.
+        i, w0 = i[k], w0[k]
+        goal = left[k] - np.where(left[k] < lo[k], 0, w1[k])
         # The largest id with upto * w0 >> TOTAL_BITS <= goal; in order, as neighbours are looked up faster.
         top = ((((goal + 1) << TOTAL_BITS) - 1) // w0).astype(np.int32)
         order = np.argsort(top)
@@ -83,8 +98,9 @@ class Model:
 
     def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.hit1, self.hit2
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.seen += np.bincount(kind * self.seen.shape[1] + self.group, minlength=self.seen.size).reshape(self.seen.shape)
+        part2, part1 = self.w2 * hit2 * PART // self.size, self.w1 * hit1 * PART // self.size
+        for earned, part in zip(self.earned, (part2, part1, PART - part2 - part1), strict=True):
+            earned += np.bincount(self.group, part, minlength=len(earned)).astype(np.int64)  # exact: far below 2**53
         for table, at, hit, old, sure in ((self.one, self.last1, hit1, self.p1, self.k1), (self.two, self.slot, hit2, self.p2, self.k2)):
             table[at] = np.where(hit | (sure == 0), ids, old) << 3 | np.where(hit, np.minimum(sure + 1, SURE), sure >> 1)
         self.waiting.append(ids)

@@ -2,8 +2,9 @@
 
 Documents are dealt to tasks by ranges of their ids and sorted there; each task turns texts into ids and
 fills blocks (`coder`), which end with a document. A file holds the rows (part, block, start, doc_ids,
-lengths, payload): the range's number, the block's number in it, the ids before the block in the range, the
-documents with their lengths, and the coded block. Spark's writer commits the files, so a lost task
+lengths, payload, checksum): the range's number, the block's number in it, the ids before the block in the range, the
+documents with their lengths, and the coded block, and a CRC-32 over all of these, which is compared when a block is read, as is
+the sum of lengths with the number of decoded ids. Spark's writer commits the files, so a lost task
 leaves nothing behind.
 
 Texts are encoded by the `tokenizers` library. A worker keeps the ids of pieces that it met (at most
@@ -191,7 +192,14 @@ class Encoder:
         return out
 
 
-BLOCKS = "part int, block int, start long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+BLOCKS = "part int, block int, start long, doc_ids array<bigint>, lengths array<bigint>, payload binary, checksum long"
+
+
+def checksum(part: int, number: int, start: int, ids: list, lengths: list, payload: bytes) -> int:
+    """CRC-32 of a block's place, documents, lengths and payload; a null id is told from every number."""
+    known = np.array([i is not None for i in ids], np.uint8)
+    columns = np.array([part, number, start, len(ids), *[i or 0 for i in ids], *lengths], "<i8")
+    return zlib.crc32(payload, zlib.crc32(known.tobytes(), zlib.crc32(columns.tobytes())))
 
 
 def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
@@ -203,10 +211,13 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
         ids, parts, size, number, start = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(p) for p in parts]
+            lengths, payload = [len(p) for p in parts], encode(np.concatenate(parts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(np.concatenate(parts))], pa.binary())],
-                ["part", "block", "start", "doc_ids", "lengths", "payload"],
+                [
+                    pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
+                    pa.array([checksum(part, number, start, ids, lengths, payload)], pa.int64()),
+                ],
+                ["part", "block", "start", "doc_ids", "lengths", "payload", "checksum"],
             )
 
         for b in batches:
@@ -231,8 +242,12 @@ def read_back(files: DataFrame) -> DataFrame:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, start, ids, lengths, payload in zip(*(b.column(c).to_pylist() for c in ("part", "start", "doc_ids", "lengths", "payload")), strict=True):
+            for part, number, start, ids, lengths, payload, crc in zip(*(b.column(c).to_pylist() for c in ("part", "block", "start", "doc_ids", "lengths", "payload", "checksum")), strict=True):
+                if crc != checksum(part, number, start, ids, lengths, payload):
+                    raise ValueError(f"token file: block {number} of part {part} was damaged")
                 raw = decode(payload).astype("<u4")
+                if len(raw) != sum(lengths) or len(ids) != len(lengths):
+                    raise ValueError(f"token file: block {number} of part {part} holds {len(raw)} ids, its documents {sum(lengths)}")
                 ends = np.cumsum(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [

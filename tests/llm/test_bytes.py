@@ -35,6 +35,39 @@ def test_coder_notices_damage():
             coder.decode(bytes(bad))
 
 
+def test_coder_mixes_all_orders():
+    """An id that several orders predict costs what the sum of their shares says, and every point belongs to one id."""
+    rng = np.random.default_rng(5)
+    m = coder.Model(40)
+    ids = rng.zipf(1.5, (60, 64)) % 40
+    last2 = last1 = np.zeros(64, np.int64)
+    for own in ids:
+        m.predict(last2, last1)
+        for lane in range(0, 64, 9):
+            start, size = zip(*((int(a[lane]), int(b[lane])) for a, b in (m.share(np.full(64, i)) for i in range(40))))
+            assert start[0] == 0 and all(a + b == c for a, b, c in zip(start, size, start[1:])) and start[-1] + size[-1] == coder.TOTAL and min(size) > 0
+            p2, p1 = int(m.p2[lane]), int(m.p1[lane])
+            order0 = (int(m.upto[p2 + 1]) * int(m.w0[lane]) >> coder.TOTAL_BITS) - (int(m.upto[p2]) * int(m.w0[lane]) >> coder.TOTAL_BITS)
+            assert size[p2] == order0 + int(m.w2[lane]) + (int(m.w1[lane]) if p1 == p2 else 0)
+        a, b = m.share(own)
+        for at in (a, a + b - 1):
+            assert (m.find(at) == own).all()
+        m.share(own)
+        m.learn(own)
+        last2, last1 = last1, own
+
+
+def test_token_files_notice_damage(spark):
+    from pyspark.sql import functions as F
+
+    rows, df = odd_docs(spark)
+    good = tokens.materialize(spark, tokens.blocks(df, tokens.default_tokenizer(), 500), "test-tokens")
+    assert tokens.read_back(good).count() == len(rows)
+    for column, bad in (("start", F.col("start") + 1), ("doc_ids", F.reverse("doc_ids")), ("lengths", F.transform("lengths", lambda n: n + 1)), ("block", F.col("block") + 1)):
+        with pytest.raises(Exception, match="damaged"):
+            tokens.read_back(good.withColumn(column, bad)).collect()
+
+
 def test_pieces_encode_as_whole_texts():
     e = tokens.Encoder(tokens.default_tokenizer())
     rng = random.Random(3)
