@@ -1,23 +1,24 @@
-"""Suffix-order dedup of repeated byte strings: later copies go, the first stays.
+"""Suffix-array dedup of repeated byte strings: later copies go, the first stays.
 
-A byte goes if a string of `WINDOW` bytes over it also starts earlier in the order of (id, position): in terms of
-the corpus's suffix order, if the longest previous factor of some start is WINDOW or more. A factor of that
-length exists exactly if, among the suffixes that share their first WINDOW bytes, which stand side by side in
-suffix order, another one starts earlier, that is a previous or next smaller position inside the run. So each
-run keeps its smallest position. Runs are formed without one suffix array of everything:
+A byte goes if a string of `WINDOW` bytes over it also starts earlier in the order of (id, position): if the longest
+previous factor of some start is WINDOW or more. The array of longest previous factors is made from the suffix
+order: of all starts that come earlier in the text, the two that share most with a start are the next
+smaller positions before and behind it in suffix order (`previous_factors`). One suffix array of everything doesn't fit a
+task, so the starts are dealt into groups that hold all equal strings of WINDOW bytes together:
 
 1. Anchors. In each string of WINDOW bytes the substring of `KEY` bytes with the smallest hash is an anchor (about
    3 in 100 positions). Equal strings have equal anchors at equal places. An anchor is written with a hash of its
    surroundings: all bytes that strings over it can reach. Each task first merges equal ones of its own.
 2. Anchors meet by hash. Where surroundings are equal too, all strings over the later ones are repeats. Only
    where one anchor has different surroundings are those bytes looked at.
-3. For these, the suffixes of each anchor's surroundings are brought in runs of equal WINDOW-byte prefixes, and
-   what isn't the smallest of its run is a repeat. Anchors with very many different surroundings are first cut
+3. These are brought in suffix order, by prefix doubling over their bytes (`suffix_order`), and the starts whose longest previous
+   factor reaches WINDOW are repeats. Anchors with very many different surroundings are first cut
    into finer ones: the strings that start in a SPREAD of places before the anchor share a longer core, which
-   becomes the anchor, and fewer surroundings, which are merged as in 1 and 2. What is still crowded then is
-   brought in runs by a grouped minimum over all tasks.
+   becomes the anchor, and fewer surroundings, which are merged as in 1 and 2. What is still crowded then
+   may be more than a task holds: there the suffixes that share WINDOW bytes meet by 128 bits of hashes, and a start has an
+   earlier one among them exactly if it isn't their smallest position, which a grouped minimum finds over all tasks.
 
-Hashes are 64 bits of anchor and 64 bits of surroundings or string together.
+Surroundings count as equal by 128 bits: 64 of the anchor, 64 of the whole.
 
 Nulls: a null text is empty; a null id comes before all others. Rows of equal id are one document to the order:
 their positions compare, equal rows keep what they have. Texts of less than WINDOW bytes lose nothing. Other
@@ -147,16 +148,60 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["anchor", "crowded", "ord", "twin", "pos", "reach", "bytes"])
 
 
-def _starts(around: list[bytes], reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings of WINDOW bytes in the surroundings: row, start before the anchor, hash."""
+def _starts(around: list[bytes], reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of WINDOW bytes in the surroundings: row, start before the anchor, and place in raw, the joined bytes."""
     sizes = np.array([len(x) for x in around], np.int64)
     begin = np.cumsum(sizes) - sizes
     n = np.maximum(0, sizes - WINDOW + 1)
     row = np.repeat(np.arange(len(around)), n)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    total = sums(np.frombuffer(b"".join(around), np.uint8))
-    lo = begin[row] + off
-    return row, reach[row] - off, ranges(total, lo, lo + WINDOW)
+    return row, reach[row] - off, begin[row] + off, np.frombuffer(b"".join(around), np.uint8)
+
+
+def suffix_order(raw: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The order of raw[s : s + width] over `starts`, by prefix doubling, and which are equal to the one before in it."""
+
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        in_order = key[order]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.concatenate(([0], (in_order[1:] != in_order[:-1]).astype(np.int64))))[: len(key)].astype(np.uint64)
+        return rank
+
+    padded = np.concatenate((raw, np.zeros(width, np.uint8)))
+    key, have = np.zeros(len(raw), np.uint64), 8
+    for k in range(8):
+        key = key << np.uint64(8) | padded[k : k + len(raw)].astype(np.uint64)
+    rank = ranked(key)
+    while have * 2 <= width:  # ranks are below 2**32, as a batch is
+        tail = np.concatenate((rank[have:], np.zeros(min(have, len(rank)), np.uint64)))[: len(rank)]
+        rank, have = ranked(rank << np.uint64(32) | tail), have * 2
+    key = rank[starts] << np.uint64(32) | rank[np.minimum(starts + width - have, max(0, len(raw) - 1))]
+    order = np.argsort(key, kind="stable")
+    return order, np.concatenate(([False], key[order][1:] == key[order][:-1]))[: len(order)]
+
+
+def previous_factors(pos: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order: `pos` is each one's place in the text, `common` what it shares with the one before.
+
+    The nearest suffix on each side with a smaller place is found by following the pointers of those between,
+    which halves the way in each round; what is shared with it is the least of `common` on the way.
+    """
+    best = np.zeros(len(pos), common.dtype)
+    for side in (1, -1):
+        p = pos[::side]
+        # Backwards, a suffix shares with the one behind it what that one shares with it.
+        shared = common.copy() if side == 1 else np.concatenate((common[:1] * 0, common[:0:-1]))
+        at = np.arange(len(p)) - 1
+        todo = np.flatnonzero((shared > 0) & (at >= 0))
+        todo = todo[p[at[todo]] >= p[todo]]
+        while len(todo):
+            over = at[todo]
+            shared[todo], at[todo] = np.minimum(shared[todo], shared[over]), at[over]
+            todo = todo[(at[todo] >= 0) & (shared[todo] > 0)]
+            todo = todo[p[at[todo]] >= p[todo]]
+        best = np.maximum(best, np.where(at >= 0, shared, 0)[::side])
+    return best
 
 
 def _runs(ord_: np.ndarray, twin: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -174,15 +219,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        anchor, o, w, pos, reach = (rows.column(c).to_numpy() for c in ("anchor", "ord", "twin", "pos", "reach"))
-        row, before, h = _starts(rows.column("bytes").to_pylist(), reach.astype(np.int64))
+        o, w, pos, reach = (rows.column(c).to_numpy() for c in ("ord", "twin", "pos", "reach"))
+        row, before, at, raw = _starts(rows.column("bytes").to_pylist(), reach.astype(np.int64))
         start = pos[row] - before
-        key = mix(h ^ mix(anchor[row].view(np.uint64) + before.astype(np.uint64)))
-        order = np.lexsort((start, o[row], key))
-        row, start, key = row[order], start[order], key[order]
-        first = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-        later = (o[row] != o[row[lead]]) | (start != start[lead])
+        order, equal = suffix_order(raw, at)
+        row, start = row[order], start[order]
+        place = np.empty(len(row), np.int64)  # in the text; rows of equal ord and start have one place
+        by = np.lexsort((start, o[row]))
+        place[by] = np.cumsum(np.concatenate(([0], ((start[by][1:] != start[by][:-1]) | (o[row[by]][1:] != o[row[by]][:-1])).astype(np.int64))))[: len(by)]
+        later = previous_factors(place, np.where(equal, WINDOW, 0)) >= WINDOW
         return _runs(o[row[later]], w[row[later]], start[later])
 
     rest: pa.Table | None = None
@@ -265,9 +310,11 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             anchor, o, w, pos, reach = (b.column(c).to_numpy() for c in ("anchor", "ord", "twin", "pos", "reach"))
-            row, before, h = _starts(b.column("bytes").to_pylist(), reach.astype(np.int64))
+            row, before, at, raw = _starts(b.column("bytes").to_pylist(), reach.astype(np.int64))
+            one, two = ranges(sums(raw), at, at + WINDOW), ranges(sums(raw ^ np.uint8(0x5A)), at, at + WINDOW)
+            keys = [mix(h ^ mix(anchor[row].view(np.uint64) + before.astype(np.uint64))) for h in (one, mix(two + one))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(h ^ mix(anchor[row].view(np.uint64) + before.astype(np.uint64))).view(np.int64)), pa.array(o[row]), pa.array(w[row]), pa.array((pos[row] - before).astype(np.int32))], ["key", "ord", "twin", "start"]
+                [*(pa.array(k.view(np.int64)) for k in keys), pa.array(o[row]), pa.array(w[row]), pa.array((pos[row] - before).astype(np.int32))], ["key", "key2", "ord", "twin", "start"]
             )
 
 
@@ -320,9 +367,9 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         quiet = around.where("NOT crowded").select("anchor", "ord", "twin", "pos", "reach", "bytes")
         finer = materialize(spark, _ranked(around.where("crowded").mapInArrow(_finer, _FINER), crowd).withColumn("bytes", F.when(~F.col("whole"), F.col("bytes"))), "repeats-finer")
         quiet = quiet.unionByName(finer.where("NOT whole AND NOT crowded").select(*quiet.columns))
-        spelled = finer.where("NOT whole AND crowded").mapInArrow(_spelled, "key long, ord long, twin long, start int")
-        least = spelled.groupBy("key").agg(F.min(F.struct("ord", "start")).alias("least"))
-        again = spelled.join(least, "key").where("ord <> least.ord OR start <> least.start").select("ord", "twin", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"))
+        spelled = finer.where("NOT whole AND crowded").mapInArrow(_spelled, "key long, key2 long, ord long, twin long, start int")
+        least = spelled.groupBy("key", "key2").agg(F.min(F.struct("ord", "start")).alias("least"))
+        again = spelled.join(least, ["key", "key2"]).where("ord <> least.ord OR start <> least.start").select("ord", "twin", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi"))
         runs = runs.unionByName(finer.where("whole").select("ord", "twin", (F.col("pos") - F.col("reach")).alias("lo"), "hi")).unionByName(again)
     compared = quiet.repartition("anchor").sortWithinPartitions("anchor", "ord", "pos").mapInArrow(_compared, "ord long, twin long, lo int, hi int")
     runs = runs.unionByName(compared)

@@ -163,6 +163,25 @@ def test_anchors_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     assert got == whole
 
 
+def test_suffix_order_and_previous_factors():
+    rng = random.Random(9)
+    for width in (8, 100):
+        for alphabet in ("ab", "abcdefgh", "a"):
+            raw = "".join(rng.choice(alphabet) for _ in range(700)).encode()
+            starts = np.array(sorted(rng.sample(range(len(raw) - width), 400)))
+            order, equal = repeats.suffix_order(np.frombuffer(raw, np.uint8), starts, width)
+            s = [raw[i : i + width] for i in starts[order]]
+            assert s == sorted(s) and equal.tolist() == [False] + [a == b for a, b in zip(s, s[1:])]
+    for _ in range(60):
+        n = rng.randrange(0, 40)
+        t = "".join(rng.choice("ab") for _ in range(n))
+        order = sorted(range(n), key=lambda i: t[i:])
+        share = lambda a, b: next((k for k in range(n) if t[a + k : a + k + 1] != t[b + k : b + k + 1] or not t[a + k : a + k + 1]), n)
+        common = np.array([0] + [share(a, b) for a, b in zip(order, order[1:])][: max(0, n - 1)])[:n]
+        got = repeats.previous_factors(np.array(order, np.int64), common.astype(np.int64))
+        assert got.tolist() == [max((share(i, j) for j in range(i)), default=0) for i in order]
+
+
 def test_repeats_odd_cases(spark):
     rows, df = odd_docs(spark)
     assert found(repeats.remove_repeats(df)) == brute_repeats(rows)
