@@ -294,11 +294,55 @@ def test_secrets_of_one_word(spark):
 
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert Counter(r.doc_id for r in got) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 2}
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 2, 3: 3, 4: 3, 5: 2, 6: 2}
     assert {(r.doc_id, r.candidate_sha256) for r in got if r.secret} >= {(1, digest(aws)), (2, digest(ghp)), (3, digest(f"api_key={sk}")), (3, digest(f"password={plain}")), (5, digest(plain))}
     assert not any(r.secret for r in got if r.candidate_sha256 in (digest("build-2024-01-02-release"), digest("https://www.site.com/page/12"), digest(sha)))
 
 
+def brute_candidates(text):
+    """(number of the word, run) of every run of key characters, by splitting at white space."""
+    return [(i, m) for i, w in enumerate(re.split(r"[\x20\x09-\x0D]+", text or "")) for m in re.findall(r"[A-Za-z0-9_+/=.@:~\-]{16,}", w)]
+
+
+def test_candidates_against_brute_force(spark):
+    rows, df = odd_docs(spark)
+    rng = random.Random(12)
+    pile = "".join(rng.choice(['a', 'Zx9', '"', ",", " ", "=", "key", "{", "_-", "\n", "é", "0"]) for _ in range(60_000))
+    more = [(200, pile), (201, pile[:400] + "k" * 5000), (202, "noDigitsAtAllInThisKeyXq"), (202, "noDigitsAtAllInThisKeyXq")]
+    df = df.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = Counter((r[0], *c) for r in [*rows, *more] for c in brute_candidates(r[1]))
+    assert Counter((r.doc_id, r["at"], r.candidate) for r in secrets.candidates(df).collect()) == want
+    assert len(want) > 50
+
+
+def test_planted_secrets_are_told_from_what_the_documents_hold(spark):
+    """Keys of forms and places that the findings don't spell out, planted in real texts; also what only looks like keys."""
+    import hashlib
+
+    rng = random.Random(21)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    key = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    b62, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
+    good = [lambda k: f'authorization_token_header="{k}"', lambda k: f'{{"id":7,"secret":"{k}"}}', lambda k: f"my password is {k}", lambda k: f"TOKEN: {k}", lambda k: f"curl -H api_key={k}"]
+    bad = [
+        lambda: f"commit {key('0123456789abcdef', 40)}", lambda: f"uuid {key('0123456789abcdef', 8)}-aaaa-4bbb-8ccc-{key('0123456789abcdef', 12)}", lambda: "secret informationsgesellschaft",
+        lambda: f"see https://www.site.org/page/{key('0123456789', 5)}.html", lambda: "requestHandlerWithDefaultValue", lambda: f"call {key('0123456789', 16)}", lambda: "password: changeme-placeholder",
+    ]
+    rows, planted, decoys = [], set(), set()
+    for i, t in enumerate(texts[:150]):
+        w = t.split(" ")
+        k = key(b62 if i % 3 else low, rng.randrange(24, 41))
+        at = rng.randrange(len(w) + 1)
+        text = good[i % len(good)](k) if i % 2 else bad[(i // 2) % len(bad)]()
+        for _, c in brute_candidates(text):
+            (planted if i % 2 and k in c else decoys).add((i, hashlib.sha256(c.encode()).hexdigest()))
+        rows.append((i, " ".join([*w[:at], text, *w[at:]])))
+    got = {(r.doc_id, r.candidate_sha256) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("secret").collect()}
+    assert len(planted) == 75 and len(decoys) > 70
+    recall, wrong = len(got & planted) / len(planted), len(got & decoys) / len(decoys)
+    assert recall >= 0.9 and wrong <= 0.1
+
+
 def test_forest_on_unseen_findings(spark):
     model = secrets.fit(secrets.labelled_findings(spark, 4000))
     table, _ = secrets.features(secrets.labelled_findings(spark, 6000).where("id >= 4000"))
