@@ -21,9 +21,10 @@ def items(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang", F.size(T.words("text")).cast("long").alias("n")).where("n > 0")
 
 
-_CONCAT = f"""{_ITEMS}, st AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY doc_id) - n AS lo FROM it),
+_STREAM = f"""st AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY doc_id) - n AS lo FROM it),
 mb AS (SELECT lang, doc_id, lo, lo + n AS hi, unnest(range(CAST(lo // {LENGTH} AS BIGINT), CAST((lo + n - 1) // {LENGTH} + 1 AS BIGINT))) AS win FROM st),
 cc AS (SELECT lang, win, count(*) AS members, sum(least(hi, (win + 1) * {LENGTH}) - greatest(lo, win * {LENGTH})) AS occupied FROM mb GROUP BY lang, win)"""
+_CONCAT = f"{_ITEMS}, {_STREAM}"
 
 
 def concat_chop(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -101,7 +102,7 @@ def packed(docs: DataFrame, policy: str) -> DataFrame:
     bin of their own, behind the others.
     """
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "off"]).reset_index(drop=True)
         rows["tokens"], rows["truncated"] = rows["n"].clip(upper=LENGTH), rows["n"] > LENGTH
         if policy == "structure":
@@ -117,46 +118,15 @@ def packed(docs: DataFrame, policy: str) -> DataFrame:
     return grouped.applyInPandas(one, "lang string, grp long, bin long, doc_id long, off long, tokens long, truncated boolean")
 
 
-@query("pack_greedy")
-def pack_greedy(spark, sf):
-    """First fit in order of arrival."""
-    return packed(pieces(items(spark, sf)), "greedy")
-
-
-@query("pack_best_fit")
-def pack_best_fit(spark, sf):
-    """Longest first, each in the tightest bin."""
-    return packed(pieces(items(spark, sf)), "best_fit")
-
-
-@query("pack_structure")
-def pack_structure(spark, sf):
-    return packed(pieces(items(spark, sf)), "structure")
-
-
-@query("pack_long_context")
-def pack_long_context(spark, sf):
-    """The longest item anchors a bin, which what still fits fills up."""
-    return packed(pieces(items(spark, sf)), "long_context")
-
-
 POLICIES = ("greedy", "best_fit", "structure", "long_context")
 
 
-@query("pack_verify", f"""
-WITH {_ITEMS}, p AS (SELECT unnest(['greedy', 'best_fit', 'structure', 'long_context']) AS policy), t AS (SELECT count(*) AS items, sum(least(n, {LENGTH})) AS tokens FROM it)
-SELECT policy, CAST(items AS BIGINT) AS items, CAST(tokens AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS placed_twice FROM p, t""")
-def pack_verify(spark, sf):
-    """Of each policy, items uncut and truncated to a window: items and tokens placed, bins over their capacity, items in more than one bin."""
-    return placed(items(spark, sf).withColumn("off", F.lit(0).cast("long"))).drop("truncated")
-
-
 @query("pack_verify_pieces", f"""
 WITH {_ITEMS}, c AS (SELECT n, unnest(range(0, n, {LENGTH})) AS off FROM it), p AS (SELECT unnest(['greedy', 'best_fit', 'structure', 'long_context']) AS policy),
 t AS (SELECT count(*) AS items, sum(least({LENGTH}, n - off)) AS tokens FROM c WHERE n <= {LENGTH} OR n - off >= {LEAST_TAIL})
 SELECT policy, CAST(items AS BIGINT) AS items, CAST(tokens AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS truncated, CAST(0 AS BIGINT) AS placed_twice FROM p, t""")
 def pack_verify_pieces(spark, sf):
-    """The same of the pieces that the policies' queries pack: all of them are placed whole."""
+    """Of each policy: pieces and tokens placed, bins over their capacity, pieces that are cut or in more than one bin."""
     return placed(pieces(items(spark, sf)))
 
 
