@@ -6,11 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.ordered import numbered
 from millrace.plans.text import TRIM, WORDS, ngram_sql
 from millrace.registry import query
 from millrace.session import materialize, table
 
 NEAR, CONTAMINATED, LEAST_SHARED, CONTAINED = 0.8, 0.35, 4, 0.8
+#: Ids of rows that queries add to the documents as positive controls: held-out items as they are and with a tail, and near copies of long documents.
+EXACT_ID, TAIL_ID, COPY_ID = 1_000_000_000, 2_000_000_000, 3_000_000_000
+TAIL = " and some more words"
+
+_CONTROLLED = f"""ctl AS (SELECT doc_id, lang, text FROM documents UNION ALL SELECT {EXACT_ID} + item_id, 'en', text FROM benchmark UNION ALL SELECT {TAIL_ID} + item_id, 'en', text || '{TAIL}' FROM benchmark)"""
+_COPIED = f"""cop AS (SELECT doc_id, lang, text FROM documents UNION ALL SELECT {COPY_ID} + doc_id, lang, text || '{TAIL}' FROM documents WHERE length(text) > 4000)"""
+
+
+def controlled(spark, sf) -> DataFrame:
+    """The documents, and every held-out item as a document, as it is and with a tail."""
+    held = table(spark, sf, "benchmark")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    for first, tail in ((EXACT_ID, ""), (TAIL_ID, TAIL)):
+        rows = rows.unionByName(held.select((F.col("item_id") + first).alias("doc_id"), F.lit("en").alias("lang"), F.concat("text", F.lit(tail)).alias("text")))
+    return rows
+
+
+def with_copies(spark, sf) -> DataFrame:
+    """The documents, and near copies of the long ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return docs.unionByName(docs.where(F.char_length("text") > 4000).select((F.col("doc_id") + COPY_ID).alias("doc_id"), "lang", F.concat("text", F.lit(TAIL)).alias("text")))
 
 
 def fingerprint_sets(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
@@ -20,7 +42,12 @@ def fingerprint_sets(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
 
 
 def exploded(sets: DataFrame, key: str) -> DataFrame:
-    return sets.select(key, F.size("g").cast("long").alias("size"), F.explode("g").alias("gram"))
+    """One row a gram.
+
+    The outer form, and a size that can't be null, leave the optimizer no test of the grams to push down: below, it
+    would make them again, and from the text for every gram.
+    """
+    return sets.select(key, F.coalesce(F.size("g"), F.lit(0)).cast("long").alias("size"), F.explode_outer("g").alias("gram")).where("gram IS NOT NULL")
 
 
 def fingerprints(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
@@ -61,8 +88,8 @@ def dedup_exact(spark, sf):
     return docs.join(first, "sha").select("doc_id", "sha", (F.col("doc_id") == F.col("first")).alias("kept"))
 
 
-_PAIRS = f"""{ngram_sql(4)},
-fd AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)),
+_PAIRS = f"""{_COPIED}, {ngram_sql(4, "cop")},
+fd AS (SELECT min(doc_id) AS doc_id FROM cop GROUP BY sha256(text)),
 g AS (SELECT dg.* FROM dg SEMI JOIN fd USING (doc_id)), sz AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 pairs AS (SELECT a, b, shared, shared / (x.n + y.n - shared)::DOUBLE AS jaccard FROM sh JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE shared / (x.n + y.n - shared)::DOUBLE >= {NEAR})"""
@@ -70,7 +97,8 @@ pairs AS (SELECT a, b, shared, shared / (x.n + y.n - shared)::DOUBLE AS jaccard
 
 @query("dedup_near_pairs", f"WITH {_PAIRS} SELECT a, b, CAST(shared AS BIGINT) AS shared, round(jaccard, 6) AS jaccard FROM pairs")
 def dedup_near_pairs(spark, sf):
-    return near_pairs(table(spark, sf, "documents")).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs among the documents and near copies of the long ones."""
+    return near_pairs(with_copies(spark, sf)).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -98,11 +126,11 @@ o AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT a AS node
 r(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = o.node AND list_contains(r.kept, a)) THEN r.kept ELSE list_append(r.kept, o.node) END FROM r JOIN o ON o.k = r.k + 1),
 kk AS (SELECT unnest(kept) AS node FROM r WHERE k = (SELECT max(k) FROM r)),
-sh2 AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM documents)
+sh2 AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM cop)
 SELECT doc_id, CASE WHEN f <> doc_id THEN 'exact' WHEN f IN (SELECT node FROM o) AND f NOT IN (SELECT node FROM kk) THEN 'near' ELSE 'kept' END AS verdict FROM sh2""")
 def dedup_greedy(spark, sf):
     """First seen wins: exact copies go, then what is near an earlier kept document."""
-    docs = table(spark, sf, "documents")
+    docs = with_copies(spark, sf)
     state = greedy(near_pairs(docs))
     hashed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"))
@@ -116,22 +144,26 @@ o AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT a AS node
 r(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = o.node AND list_contains(r.kept, a)) THEN r.kept ELSE list_append(r.kept, o.node) END FROM r JOIN o ON o.k = r.k + 1),
 kk AS (SELECT unnest(kept) AS node FROM r WHERE k = (SELECT max(k) FROM r)),
-sh2 AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM documents),
+sh2 AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM cop),
 v AS (SELECT lang, CASE WHEN f <> doc_id THEN 'exact' WHEN f IN (SELECT node FROM o) AND f NOT IN (SELECT node FROM kk) THEN 'near' ELSE 'kept' END AS verdict FROM sh2)
 SELECT lang, CAST(count(*) AS BIGINT) AS samples_in, CAST(count_if(verdict = 'kept') AS BIGINT) AS samples_kept, CAST(count_if(verdict = 'exact') AS BIGINT) AS exact, CAST(count_if(verdict = 'near') AS BIGINT) AS near FROM v GROUP BY lang""")
 def agg_dedup_report(spark, sf):
     verdict = F.col("verdict")
-    rows = dedup_greedy(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    rows = dedup_greedy(spark, sf).join(with_copies(spark, sf).select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(F.count("*").alias("samples_in"), F.count_if(verdict == "kept").alias("samples_kept"), F.count_if(verdict == "exact").alias("exact"), F.count_if(verdict == "near").alias("near"))
 
 
-@query("screen_exact", """
-WITH h AS (SELECT sha256(text) AS sha, max(item_id) AS item_id FROM benchmark GROUP BY 1)
-SELECT doc_id, item_id FROM (SELECT doc_id, sha256(text) AS sha FROM documents) JOIN h USING (sha)""")
+@query("screen_exact", f"""
+WITH {_CONTROLLED}, h AS (SELECT sha256(text) AS sha, max(item_id) AS item_id FROM benchmark GROUP BY 1)
+SELECT doc_id, item_id FROM (SELECT doc_id, sha256(text) AS sha FROM ctl) JOIN h USING (sha)""")
 def screen_exact(spark, sf):
-    """Documents equal to a held-out item; of equal items the last registered counts."""
-    held = table(spark, sf, "benchmark").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.max("item_id").alias("item_id"))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).join(held, "sha").select("doc_id", "item_id")
+    """Documents, controls among them, that equal a held-out item; of equal items the last registered counts."""
+    return same_text(controlled(spark, sf), table(spark, sf, "benchmark"))
+
+
+def same_text(docs: DataFrame, held: DataFrame) -> DataFrame:
+    items = held.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.max("item_id").alias("item_id"))
+    return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).join(items, "sha").select("doc_id", "item_id")
 
 
 def screened(docs: DataFrame, held: DataFrame, stride: int) -> DataFrame:
@@ -141,8 +173,8 @@ def screened(docs: DataFrame, held: DataFrame, stride: int) -> DataFrame:
     return d.join(h, "gram").groupBy("doc_id", "item_id", "n_doc", "n_item").agg(F.count("*").alias("shared"))
 
 
-def _screen_sql(stride: int) -> str:
-    return f"""{ngram_sql(stride)}, sz AS (SELECT doc_id, count(*) AS n FROM dg GROUP BY doc_id),
+def _screen_sql(stride: int, docs: str = "documents") -> str:
+    return f"""{ngram_sql(stride, docs)}, sz AS (SELECT doc_id, count(*) AS n FROM dg GROUP BY doc_id),
 hw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 hg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6, {stride})) AS i FROM hw WHERE len(w) >= 8)),
 hz AS (SELECT item_id, count(*) AS m FROM hg GROUP BY item_id),
@@ -150,16 +182,61 @@ sh AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN hg USING (g) GROU
 j AS (SELECT doc_id, item_id, shared, n, m FROM sh JOIN sz USING (doc_id) JOIN hz USING (item_id))"""
 
 
-@query("screen_ngram_jaccard", f"""
-WITH {_screen_sql(4)}, ok AS (SELECT *, shared / (n + m - shared)::DOUBLE AS jaccard FROM j WHERE shared >= {LEAST_SHARED})
-SELECT doc_id, min(item_id) AS item_id, CAST(arg_min(shared, item_id) AS BIGINT) AS shared, round(arg_min(jaccard, item_id), 6) AS jaccard FROM ok WHERE jaccard >= {CONTAMINATED} GROUP BY doc_id""")
-def screen_ngram_jaccard(spark, sf):
+_ALIKE = f"""ok AS (SELECT *, shared / (n + m - shared)::DOUBLE AS jaccard FROM j WHERE shared >= {LEAST_SHARED}),
+alike AS (SELECT doc_id, min(item_id) AS item_id, CAST(arg_min(shared, item_id) AS BIGINT) AS shared, round(arg_min(jaccard, item_id), 6) AS jaccard FROM ok WHERE jaccard >= {CONTAMINATED} GROUP BY doc_id)"""
+
+
+def alike(docs: DataFrame, held: DataFrame) -> DataFrame:
     """By similarity of fingerprints; the first registered item that matches is named."""
-    j = screened(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 4).where(F.col("shared") >= LEAST_SHARED).withColumn("jaccard", F.col("shared") / (F.col("n_doc") + F.col("n_item") - F.col("shared")))
+    j = screened(docs, held, 4).where(F.col("shared") >= LEAST_SHARED).withColumn("jaccard", F.col("shared") / (F.col("n_doc") + F.col("n_item") - F.col("shared")))
     ok = j.where(F.col("jaccard") >= CONTAMINATED)
     return ok.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.min_by("shared", "item_id").alias("shared"), F.round(F.min_by("jaccard", "item_id"), 6).alias("jaccard"))
 
 
+@query("screen_ngram_jaccard", f"WITH {_CONTROLLED}, {_screen_sql(4, 'ctl')}, {_ALIKE} SELECT * FROM alike")
+def screen_ngram_jaccard(spark, sf):
+    """Documents, controls among them, whose fingerprint is like a held-out item's."""
+    return alike(controlled(spark, sf), table(spark, sf, "benchmark"))
+
+
+_SCREEN = f"""{_CONTROLLED}, {_screen_sql(4, 'ctl')}, {_ALIKE}, hx AS (SELECT sha256(text) AS sha, max(item_id) AS item_id FROM benchmark GROUP BY 1),
+ex AS (SELECT doc_id, item_id FROM (SELECT doc_id, sha256(text) AS sha FROM ctl) JOIN hx USING (sha)),
+scr AS (SELECT doc_id, lang, CASE WHEN ex.item_id IS NOT NULL THEN 'exact' WHEN alike.item_id IS NOT NULL THEN 'alike' ELSE 'clean' END AS verdict, coalesce(ex.item_id, alike.item_id) AS item_id, CASE WHEN ex.item_id IS NULL THEN alike.jaccard END AS jaccard FROM ctl LEFT JOIN ex USING (doc_id) LEFT JOIN alike USING (doc_id))"""
+
+
+def screen(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """doc_id, lang, verdict, item_id, jaccard: equal to a held-out item, else like one, else clean. What is equal isn't compared again."""
+    spark = docs.sparkSession
+    exact = materialize(spark, same_text(docs, held), "screen-exact")
+    near = alike(docs.join(exact, "doc_id", "left_anti"), held)
+    hits = exact.select("doc_id", F.lit("exact").alias("verdict"), "item_id", F.lit(None).cast("double").alias("jaccard")).unionByName(near.select("doc_id", F.lit("alike").alias("verdict"), "item_id", "jaccard"))
+    return docs.select("doc_id", "lang").join(hits, "doc_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("clean")))
+
+
+@query("screen_documents", f"WITH {_SCREEN} SELECT * FROM scr")
+def screen_documents(spark, sf):
+    """Every document, controls among them, with the verdict of the held-out index and the item that it matched."""
+    return screen(controlled(spark, sf), table(spark, sf, "benchmark"))
+
+
+@query("agg_screening_report", f"WITH {_SCREEN} SELECT lang, CAST(count(*) AS BIGINT) AS offered, CAST(count_if(verdict = 'clean') AS BIGINT) AS kept, CAST(count_if(verdict = 'exact') AS BIGINT) AS exact, CAST(count_if(verdict = 'alike') AS BIGINT) AS alike FROM scr GROUP BY lang")
+def agg_screening_report(spark, sf):
+    v = F.col("verdict")
+    return screen_documents(spark, sf).groupBy("lang").agg(F.count("*").alias("offered"), F.count_if(v == "clean").alias("kept"), F.count_if(v == "exact").alias("exact"), F.count_if(v == "alike").alias("alike"))
+
+
+@query("gate_heldout_index", f"""
+WITH hw AS (SELECT item_id, text, {WORDS} AS w FROM benchmark), hg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6, 4)) AS i FROM hw WHERE len(w) >= 8)),
+n AS (SELECT item_id, count(*) AS n FROM hg GROUP BY item_id)
+SELECT 'held-' || item_id AS held_id, CASE WHEN item_id % 2 = 0 THEN 'test' ELSE 'validation' END AS split, true AS never_train, sha256(text) AS sha, CAST(coalesce(n, 0) AS BIGINT) AS grams FROM hw LEFT JOIN n USING (item_id)""")
+def gate_heldout_index(spark, sf):
+    """The index that screening looks in: each held-out item's id, split, hash and number of grams; both splits are never trained on."""
+    held = table(spark, sf, "benchmark")
+    sets = fingerprint_sets(held, "item_id")
+    split = F.when(F.col("item_id") % 2 == 0, "test").otherwise("validation")
+    return held.join(sets, "item_id", "left").select(F.concat(F.lit("held-"), F.col("item_id")).alias("held_id"), split.alias("split"), F.lit(True).alias("never_train"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.coalesce(F.size("g").cast("long"), F.lit(0)).alias("grams"))
+
+
 @query("screen_containment", f"WITH {_screen_sql(1)} SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, round(shared / m::DOUBLE, 6) AS contained FROM j WHERE shared / m::DOUBLE >= {CONTAINED}")
 def screen_containment(spark, sf):
     """By the share of an item's grams that a document holds, at every offset: finds items inside long documents."""
@@ -219,6 +296,16 @@ def agg_manifest(spark, sf):
     return manifests(table(spark, sf, "documents"))
 
 
+@query("agg_manifest_structured", f"""
+WITH d AS (SELECT conv_id, turn, role, len({WORDS}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE len({WORDS}) > 0)
+SELECT 'talk-' || lpad(CAST(conv_id // 50 AS VARCHAR), 4, '0') AS shard_id, CAST(count(DISTINCT conv_id) AS BIGINT) AS n_samples, CAST(sum(n + (back = 1)::INT) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + (back = 1)::INT ELSE 0 END) AS BIGINT) AS n_loss_tokens FROM d GROUP BY 1""")
+def agg_manifest_structured(spark, sf):
+    """Totals of shards of trajectories, with the tokens that carry loss."""
+    loss = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.when(x["role"] == "assistant", x["b"] - x["a"]).otherwise(0))
+    shard = F.concat(F.lit("talk-"), F.lpad(F.floor(F.col("conv_id") / 50).cast("string"), 4, "0"))
+    return trajectories(spark, sf).select(shard.alias("shard_id"), "n_tokens", loss.alias("l")).groupBy("shard_id").agg(F.count("*").alias("n_samples"), F.sum("n_tokens").alias("n_tokens"), F.sum("l").alias("n_loss_tokens"))
+
+
 @query("tok_documents", f"""
 WITH d AS (SELECT conv_id, turn, role, len({WORDS}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE len({WORDS}) > 0),
 s AS (SELECT conv_id, turn, role, n + (back = 1)::INT AS n FROM d)
@@ -244,51 +331,57 @@ def trajectories(spark, sf) -> DataFrame:
 
 @query("fn_loss_mask", f"""
 WITH d AS (SELECT conv_id, turn, role, len({WORDS}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE len({WORDS}) > 0),
-s AS (SELECT *, n + (back = 1)::INT AS m, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
-SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN greatest(0, least(64, a + m) - least(64, a)) ELSE 0 END) AS BIGINT) AS loss_in_64 FROM s GROUP BY conv_id""")
+s AS (SELECT *, n + (back = 1)::INT AS m, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
+p AS (SELECT conv_id, role = 'assistant' AS g, unnest(range(CAST(a AS BIGINT), CAST(a + m AS BIGINT))) AS p FROM s)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n, CAST(count_if(g) AS BIGINT) AS loss, sha256(string_agg(CASE WHEN g THEN '1' ELSE '0' END, '' ORDER BY p)) AS mask_sha256 FROM p GROUP BY conv_id""")
 def fn_loss_mask(spark, sf):
-    """Loss positions of a window [0, 64): span arithmetic, no mask is made."""
-    clip = lambda x: F.least(x["b"], F.lit(64)) - F.least(x["a"], F.lit(64))
-    return trajectories(spark, sf).select("conv_id", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.when(x["role"] == "assistant", clip(x)).otherwise(0)).alias("loss_in_64"))
+    """The loss mask of whole trajectories from their spans: its length, its sum and a digest of its digits."""
+    digits = F.array_join(F.transform("spans", lambda x: F.repeat(F.when(x["role"] == "assistant", "1").otherwise("0"), (x["b"] - x["a"]).cast("int"))), "")
+    loss = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.when(x["role"] == "assistant", x["b"] - x["a"]).otherwise(0))
+    return trajectories(spark, sf).select("conv_id", F.col("n_tokens").alias("n"), loss.alias("loss"), F.sha2(digits.cast("binary"), 256).alias("mask_sha256"))
 
 
 @query("verify_shards", f"""
-WITH {_MANIFEST}, t AS (SELECT *, row_number() OVER (ORDER BY shard_id) AS k FROM mf)
-SELECT shard_id, CASE WHEN k % 7 = 0 THEN 'hash mismatch' WHEN k % 11 = 0 THEN 'token count' WHEN k % 13 = 0 THEN 'missing' ELSE 'ok' END AS verdict FROM t""")
+WITH {_MANIFEST}, t AS (SELECT *, CAST(('0x' || left(sha256('spoil:' || shard_id), 4)) AS BIGINT) AS k FROM mf)
+SELECT shard_id, CASE WHEN k % 13 = 0 THEN 'missing' WHEN k % 7 = 0 THEN 'hash mismatch' WHEN k % 11 = 0 THEN 'token count' ELSE 'ok' END AS verdict FROM t""")
 def verify_shards(spark, sf):
     """Recounts shards against a manifest that was tampered with on purpose: hashes, counts, missing files."""
     now = materialize(spark, manifests(table(spark, sf, "documents")), "manifests")
-    # One row a shard. The order of shards only serves to choose which entries are spoilt.
-    k = F.row_number().over(Window.orderBy("shard_id"))
+    k = F.conv(F.substring(F.sha2(F.concat(F.lit("spoil:"), "shard_id").cast("binary"), 256), 1, 4), 16, 10).cast("long")  # which entries are spoilt
     claimed = now.withColumn("k", k).select("shard_id", F.when(F.col("k") % 7 == 0, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("claimed_hash"), F.when(F.col("k") % 11 == 0, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")).alias("claimed_tokens"), "k")
-    on_disk = now.join(claimed.where("k % 13 = 0 AND k % 7 <> 0 AND k % 11 <> 0").select("shard_id"), "shard_id", "left_anti")
+    on_disk = now.where(k % 13 != 0)
     verdict = F.when(F.col("content_hash").isNull(), "missing").when(F.col("content_hash") != F.col("claimed_hash"), "hash mismatch").when(F.col("n_tokens") != F.col("claimed_tokens"), "token count").otherwise("ok")
     return claimed.join(on_disk, "shard_id", "left").select("shard_id", verdict.alias("verdict"))
 
 
 _GATE_SQL = f"""
-{_MANIFEST}, lic AS (SELECT *, CAST(('0x' || left(sha256(shard_id), 2)) AS INTEGER) AS h FROM mf),
+{_HITS}, {_MANIFEST}, lic AS (SELECT *, CAST(('0x' || left(sha256(shard_id), 2)) AS INTEGER) AS h FROM mf),
 fl AS (SELECT shard_id, n_tokens, CASE WHEN h % 4 = 3 THEN 'licence tier D not admitted' END AS a, CASE WHEN h % 5 = 0 THEN 'wrong tokenizer hash' END AS b, CASE WHEN h % 9 = 0 THEN 'no cleaning hash' END AS c,
-  CASE WHEN h % 6 = 0 THEN 'dedup not passed' END AS d, CASE WHEN h % 17 = 0 THEN 'no lane' END AS e, CASE WHEN n_samples < 2 THEN 'too few samples' END AS f FROM lic),
-gate AS (SELECT shard_id, n_tokens, a IS NULL AND b IS NULL AND c IS NULL AND d IS NULL AND e IS NULL AND f IS NULL AS admitted, concat_ws('; ', a, b, c, d, e, f) AS reasons FROM fl)"""
+  CASE WHEN h % 6 = 0 THEN 'dedup not passed' END AS d, CASE WHEN h % 17 = 0 THEN 'no lane' END AS e, CASE WHEN h % 13 = 0 THEN 'no content hash' END AS f FROM lic),
+ovl AS (SELECT shard_id, count(hit.doc_id) AS n_hits FROM sm LEFT JOIN hit USING (doc_id) GROUP BY shard_id),
+gate AS (SELECT shard_id, n_tokens, CAST(n_hits AS BIGINT) AS eval_overlap, n_hits = 0 AND a IS NULL AND b IS NULL AND c IS NULL AND d IS NULL AND e IS NULL AND f IS NULL AS admitted, concat_ws('; ', a, b, c, d, e, f, CASE WHEN n_hits > 0 THEN 'overlaps held-out items' END) AS reasons FROM fl JOIN ovl USING (shard_id))"""
 
 
 def admission(manifest: DataFrame) -> DataFrame:
     """Every failed rule of each shard, in the order of the rules; none admits it."""
     rules = F.array(
         F.when(~F.col("license_tier").isin("A", "B"), F.concat(F.lit("licence tier "), F.col("license_tier"), F.lit(" not admitted"))), F.when(F.col("tokenizer_hash") != F.lit("tok"), "wrong tokenizer hash"), F.when(F.col("cleaning_hash").isNull(), "no cleaning hash"),
-        F.when(F.col("dedup_status") != "pass", "dedup not passed"), F.when(F.col("lane").isNull(), "no lane"), F.when(F.col("n_samples") < 2, "too few samples"),
+        F.when(F.col("dedup_status") != "pass", "dedup not passed"), F.when(F.col("lane").isNull(), "no lane"), F.when(F.col("content_hash").isNull(), "no content hash"),
+        F.when(F.col("eval_overlap") > 0, "overlaps held-out items"),
     )
     failed = F.filter(rules, lambda x: x.isNotNull())
-    return manifest.select("shard_id", "n_tokens", (F.size(failed) == 0).alias("admitted"), F.array_join(failed, "; ").alias("reasons"))
+    return manifest.select("shard_id", "n_tokens", "eval_overlap", (F.size(failed) == 0).alias("admitted"), F.array_join(failed, "; ").alias("reasons"))
 
 
 def gated(spark, sf) -> DataFrame:
     h = F.conv(F.substring(F.sha2(F.col("shard_id").cast("binary"), 256), 1, 2), 16, 10).cast("int")
-    m = manifests(table(spark, sf, "documents")).withColumn("h", h)
+    docs = table(spark, sf, "documents")
+    hits = screen_containment(spark, sf).select("doc_id").distinct()
+    overlap = docs.select(shard_of().alias("shard_id"), "doc_id").join(hits, "doc_id", "left_semi").groupBy("shard_id").agg(F.count("*").alias("eval_overlap"))
+    m = manifests(docs).join(overlap, "shard_id", "left").na.fill(0, ["eval_overlap"]).withColumn("h", h)
     return admission(
         m.select(
-            "shard_id", "n_tokens", "n_samples", F.element_at(F.array(*map(F.lit, "ABBD")), F.col("h") % 4 + 1).alias("license_tier"), F.when(F.col("h") % 5 == 0, "old").otherwise("tok").alias("tokenizer_hash"), F.when(F.col("h") % 9 != 0, "clean").alias("cleaning_hash"),
+            "shard_id", "n_tokens", "eval_overlap", F.when(F.col("h") % 13 != 0, F.col("content_hash")).alias("content_hash"), F.element_at(F.array(*map(F.lit, "ABBD")), F.col("h") % 4 + 1).alias("license_tier"), F.when(F.col("h") % 5 == 0, "old").otherwise("tok").alias("tokenizer_hash"), F.when(F.col("h") % 9 != 0, "clean").alias("cleaning_hash"),
             F.when(F.col("h") % 6 == 0, "fail").otherwise("pass").alias("dedup_status"), F.when(F.col("h") % 17 != 0, "lane").alias("lane"),
         )
     )
@@ -300,10 +393,11 @@ def gate_admission(spark, sf):
 
 
 @query("registry_events", f"""
-WITH {_GATE_SQL} SELECT CAST(row_number() OVER (ORDER BY shard_id) - 1 AS BIGINT) AS event, shard_id, CASE WHEN admitted THEN 'admit' ELSE 'block' END AS kind, reasons AS detail FROM gate""")
+WITH {_GATE_SQL} SELECT CAST(row_number() OVER (ORDER BY CAST(right(shard_id, 4) AS BIGINT), shard_id) - 1 AS BIGINT) AS event, shard_id, CASE WHEN admitted THEN 'admit' ELSE 'block' END AS kind, reasons AS detail FROM gate""")
 def registry_events(spark, sf):
     """The gate's log, in order: one event a shard."""
-    return gated(spark, sf).select((F.row_number().over(Window.orderBy("shard_id")) - 1).cast("long").alias("event"), "shard_id", F.when(F.col("admitted"), "admit").otherwise("block").alias("kind"), F.col("reasons").alias("detail"))
+    log = gated(spark, sf).withColumn("at", F.right(F.col("shard_id"), F.lit(4)).cast("long"))
+    return numbered(log.withColumn("all", F.lit(0)), ["all"], ["at", "shard_id"], "n").select((F.col("n") - 1).alias("event"), "shard_id", F.when(F.col("admitted"), "admit").otherwise("block").alias("kind"), F.col("reasons").alias("detail"))
 
 
 @query("gate_quarantine", f"""

@@ -296,9 +296,9 @@ def fn_digest(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.digest(T.words("text")).alias("digest"))
 
 
-def ngram_sql(stride: int) -> str:
+def ngram_sql(stride: int, docs: str = "documents") -> str:
     return f"""
-dw AS (SELECT doc_id, lang, {WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, lang, {WORDS} AS w FROM {docs}),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6, {stride})) AS i FROM dw WHERE len(w) >= 8))"""
 
 
