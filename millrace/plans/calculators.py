@@ -168,7 +168,7 @@ def calc_extend_methods(spark, sf):
 @query("adjoint_identity", """
 WITH c AS (SELECT label, list(m ORDER BY i) AS code FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 17) r(i) GROUP BY label, i) GROUP BY label),
 w AS (SELECT label, list_transform(range(1, 17), lambda j: list_sum(list_transform(range(1, 17), lambda i: code[i] * sin(i * j)))) AS wc FROM c)
-SELECT vec_id, w.label AS candidate, round(list_sum(list_transform(range(1, 17), lambda j: embedding[j]::DOUBLE * wc[j])), 5) AS logit FROM embeddings e, w""")
+SELECT vec_id, w.label AS candidate, round(list_sum(list_transform(range(1, 17), lambda j: embedding[j]::DOUBLE * wc[j])), 4) + 0.0 AS logit FROM embeddings e, w""")
 def adjoint_identity(spark, sf):
     """Logits of codes either way round: hidden states through a map and then against codes here, codes through its transpose first in the SQL."""
     n = 16
@@ -179,7 +179,7 @@ def adjoint_identity(spark, sf):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     mapped = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.aggregate(F.transform("h", lambda x, j: x * F.sin((j + 1) * i)), F.lit(0.0), lambda s, x: s + x))
     rows = vectors.withColumn("through", mapped).crossJoin(F.broadcast(codes)).select("vec_id", "through", F.explode("codes").alias("c"))
-    return rows.select("vec_id", F.col("c.label").alias("candidate"), F.round(dot(F.col("through"), F.col("c.code")), 5).alias("logit"))
+    return rows.select("vec_id", F.col("c.label").alias("candidate"), (F.round(dot(F.col("through"), F.col("c.code")), 4) + 0.0).alias("logit"))
 
 
 # --- a dated catalogue: cards are the first order of each priority and month -------------------------------

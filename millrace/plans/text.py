@@ -150,12 +150,14 @@ def fn_normalize_text(spark, sf):
 @query("fn_clean_counters", r"""
 SELECT lang, CAST(count(*) AS BIGINT) AS docs, CAST(count_if(contains(text, '&') AND contains(text, ';')) AS BIGINT) AS html_rows,
   CAST(sum(length(text) - length(translate(text, chr(8204) || chr(8205), ''))) AS BIGINT) AS joiners_kept,
-  CAST(sum(length(text) - length(translate(text, chr(8203) || chr(65279) || chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(173) || chr(65533), ''))) AS BIGINT) AS noise_removed FROM documents GROUP BY lang""")
+  CAST(sum(length(text) - length(translate(text, chr(8203) || chr(65279) || chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(173) || chr(65533), ''))) AS BIGINT) AS noise_removed,
+  CAST(count_if(translate(text, chr(8203) || chr(65279) || chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(173) || chr(65533), '') <> text) AS BIGINT) AS changed FROM documents GROUP BY lang""")
 def fn_clean_counters(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").groupBy("lang").agg(
         F.count("*").alias("docs"), F.count_if(t.contains("&") & t.contains(";")).alias("html_rows"),
         F.sum(T.count_of(t, T.JOINERS).cast("long")).alias("joiners_kept"), F.sum(T.count_of(t, T.NOISE).cast("long")).alias("noise_removed"),
+        F.count_if(F.translate(t, T.NOISE, "") != t).alias("changed"),
     )
 
 
@@ -233,6 +235,25 @@ def _tokens(spark, sf):
 _TOKENS = f"tk AS (SELECT token, count(*) AS uses FROM (SELECT unnest({WORDS}) AS token FROM documents) GROUP BY token)"
 
 
+@query("fn_words_unicode", r"""
+SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[\t\n\x0B\f\r \x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents""")
+def fn_words_unicode(spark, sf):
+    """Words between white space of any script."""
+    white = "[\\t\\n\\x0B\\f\\r \\x1c-\\x1f\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", white), lambda w: w != "")).cast("long").alias("words"))
+
+
+@query("fn_script_names", f"""
+WITH {_TOKENS}, c AS (SELECT DISTINCT unicode(token) AS u FROM tk)
+SELECT CAST(u AS INTEGER) AS code, CASE WHEN u < 128 THEN 'latin/ascii' WHEN u BETWEEN 2304 AND 2431 THEN 'devanagari' WHEN u BETWEEN 2688 AND 2815 THEN 'gujarati' WHEN u BETWEEN 3072 AND 3199 THEN 'telugu'
+  WHEN (u BETWEEN 192 AND 591 AND u NOT IN (215, 247)) THEN 'latin' WHEN u BETWEEN 913 AND 969 THEN 'greek' WHEN u BETWEEN 1024 AND 1279 THEN 'cyrillic' WHEN u = 191 THEN 'inverted' WHEN u = 171 THEN 'left-pointing' WHEN u BETWEEN 8220 AND 8221 THEN CASE u WHEN 8220 THEN 'left' ELSE 'right' END ELSE 'other' END AS script FROM c""")
+def fn_script_names(spark, sf):
+    """Scripts of first characters: by range, and else the first word of the character's Unicode name."""
+    code = _tokens(spark, sf).select(F.ascii("token").alias("code"), T.script(F.col("token")).alias("script")).distinct()
+    name = F.lower(F.split(F.reflect(F.lit("java.lang.Character"), F.lit("getName"), F.col("code")), " ")[0])
+    return code.select("code", F.when(F.col("script") == "other", F.coalesce(name, F.lit("other"))).otherwise(F.col("script")).alias("script"))
+
+
 @query("fn_script", f"""
 WITH {_TOKENS}, s AS (SELECT token, uses, unicode(token) AS u FROM tk)
 SELECT CASE WHEN u < 128 THEN 'latin/ascii' WHEN u BETWEEN 2304 AND 2431 THEN 'devanagari' WHEN u BETWEEN 2688 AND 2815 THEN 'gujarati' WHEN u BETWEEN 3072 AND 3199 THEN 'telugu' ELSE 'other' END AS script,
@@ -278,7 +299,8 @@ def fn_kron_roundtrip(spark, sf):
 WITH {_TOKENS}, w AS (SELECT unnest([4, 8, 32, 48, 64]) AS win),
 c AS (SELECT win, token, hex(encode(token)) AS x, unicode(token) AS u FROM tk, w),
 d AS (SELECT win, token, CASE WHEN u < 128 THEN 'latin/ascii' ELSE 'other' END AS script, length(x) <= win * 2 AS fits, row_number() OVER (PARTITION BY win, left(x, win * 2) ORDER BY token) AS rn FROM c)
-SELECT CAST(win AS INTEGER) AS win, script, CAST(count(*) AS BIGINT) AS n, CAST(count_if(fits) AS BIGINT) AS fit, CAST(count_if(rn > 1) AS BIGINT) AS collisions, CAST(count_if(rn = 1) AS BIGINT) AS distinct_codes FROM d GROUP BY 1, 2""")
+SELECT CAST(win AS INTEGER) AS win, script, CAST(count(*) AS BIGINT) AS n, CAST(count_if(fits) AS BIGINT) AS fit, CAST(count_if(rn > 1) AS BIGINT) AS collisions, CAST(count_if(rn = 1) AS BIGINT) AS distinct_codes,
+ CAST(count_if(fits) AS BIGINT) AS roundtrip_ok, coalesce(array_to_string(list_sort(list(token) FILTER (rn > 1))[1:8], ' '), '') AS examples FROM d GROUP BY 1, 2""")
 def agg_collisions(spark, sf):
     """Words whose codes (first bytes of a window) another word has already taken, by script of the later word."""
     from pyspark.sql import Window
@@ -286,9 +308,14 @@ def agg_collisions(spark, sf):
     rows = _tokens(spark, sf).select("token", F.hex(F.col("token").cast("binary")).alias("x"), F.explode(F.array(*map(F.lit, (4, 8, 32, 48, 64)))).alias("win"))
     code = F.substring(F.col("x"), F.lit(1), F.col("win") * 2)
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("win", code).orderBy("token"))).withColumn("script", F.when(F.ascii("token") < 128, "latin/ascii").otherwise("other"))
-    return rows.groupBy("win", "script").agg(
-        F.count("*").alias("n"), F.count_if(F.length("x") <= F.col("win") * 2).alias("fit"), F.count_if(F.col("rn") > 1).alias("collisions"), F.count_if(F.col("rn") == 1).alias("distinct_codes")
+    # Of words that another has the code of, the first eight of each script are named.
+    named = Window.partitionBy("win", "script").orderBy("token")
+    shown = rows.where("rn > 1").withColumn("nth", F.row_number().over(named)).where("nth <= 8").groupBy("win", "script").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("examples"))
+    counted = rows.groupBy("win", "script").agg(
+        F.count("*").alias("n"), F.count_if(F.length("x") <= F.col("win") * 2).alias("fit"), F.count_if(F.col("rn") > 1).alias("collisions"), F.count_if(F.col("rn") == 1).alias("distinct_codes"),
+        F.count_if(F.unhex(code) == F.col("token").cast("binary")).alias("roundtrip_ok"),
     )
+    return counted.join(shown, ["win", "script"], "left").na.fill("", ["examples"])
 
 
 @query("fn_digest", f"SELECT doc_id, sha256(array_to_string({WORDS}, ',')) AS digest FROM documents")
