@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents
+from millrace.llm.common import documents, materialize
 
 FINDINGS, TREES, DEPTH, SEED = 6_000, 32, 9, 11
 _KEY = r"[A-Za-z0-9_+/=.@:~\-]{16,}"
@@ -88,10 +88,10 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
 def features(found: DataFrame, words: str | None = None) -> tuple[DataFrame, list[str]]:
     """The forest's inputs beside the candidates. `words` is the file of the dictionary."""
     listed = dictionary(words or default_dictionary())
-    # Parts of letters as names are written: camelCase, UPPER, lower.
+    # Lengths of the dictionary's words among the parts of letters as names are written: camelCase, UPPER, lower.
     parts = "regexp_extract_all(candidate, '[A-Z]?[a-z]+|[A-Z]+(?![a-z])', 0)"
-    covered = F.expr(f"aggregate(transform({parts}, p -> lower(p)), 0, (s, p) -> s + if(p IN ({listed}), length(p), 0))")
-    longest = F.expr(f"coalesce(array_max(transform({parts}, p -> if(lower(p) IN ({listed}), length(p), 0))), 0)")
+    found = found.withColumn("known_parts", F.expr(f"transform({parts}, p -> if(lower(p) IN ({listed}), length(p), 0))"))
+    covered, longest = F.aggregate("known_parts", F.lit(0), lambda t, x: t + x), F.coalesce(F.array_max("known_parts"), F.lit(0))
     place = F.lower(F.coalesce("path", F.lit("")))
     c = F.col("candidate")
     low = F.lower(c)
@@ -131,7 +131,7 @@ def features(found: DataFrame, words: str | None = None) -> tuple[DataFrame, lis
         "quoted": F.col("lead").rlike("[\"'`]").cast("double"),
         "plain_after": F.col("after").rlike(_PLAIN_WORDS).cast("double"),
     }
-    return found.withColumns(columns), list(columns)
+    return found.withColumns(columns).drop("known_parts"), list(columns)
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -200,9 +200,10 @@ def fit(findings: DataFrame, words: str | None = None) -> PipelineModel:
         findings = findings.withColumn("path", F.lit(None).cast("string"))
     order = [F.xxhash64("candidate", "before1", "before2"), "candidate", "before1", "before2", "label"]
     table, names = features(findings.orderBy(*order).limit(FINDINGS).coalesce(1), words)
+    table = materialize(findings.sparkSession, table.select("label", *names), "secrets-findings")  # the forest reads it several times
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featureSubsetStrategy="sqrt")
-    return PipelineModel([assemble, forest.fit(assemble.transform(table.select("label", *names)))])
+    return PipelineModel([assemble, forest.fit(assemble.transform(table.coalesce(1)))])
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None, words: str | None = None) -> DataFrame:
