@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from millrace.plans import curriculum, hygiene, learning, ledgers, packing, step
 from millrace.plans.packing import _ITEMS, LENGTH
 from millrace.plans.text import WORDS
 from millrace.registry import query
-from millrace.session import importable, materialize, table
+from millrace.session import importable, materialize, shared_dir, table
 
 MOST_VALUE = 2_600
 _W = f"len({WORDS})"
@@ -67,12 +68,6 @@ def bundle(spark, sf) -> DataFrame:
 _SIDES = " UNION ALL ".join(f"SELECT '{n}' AS requirement, '{d}' AS detail, CAST(({sql}) AS BIGINT) AS v" for n, d, _, sql in CHECKS)
 
 
-@query("evidence_bundle", f"""SELECT requirement, 'PASS' AS result, detail, v AS "left", v AS "right" FROM ({_SIDES})""")
-def evidence_bundle(spark, sf):
-    """All checks; each passes if its two sides are the same number."""
-    return bundle(spark, sf)
-
-
 def markdown(rows: list) -> str:
     """The report of a bundle: pipes are escaped, and values cut, so that a table stays a table."""
     cell = lambda x: str(x)[:MOST_VALUE].replace("|", "\\|").replace("\n", " ")
@@ -81,16 +76,21 @@ def markdown(rows: list) -> str:
     return "\n".join([*head, *(f"| {cell(r['requirement'])} | {r['result']} | {cell(r['detail'])} | {cell(r['left'])} and {cell(r['right'])} |" for r in rows)]) + "\n"
 
 
-@query("evidence_report", f"""SELECT CAST({len(CHECKS)} AS BIGINT) AS checks, CAST(0 AS BIGINT) AS failed, CAST({len(CHECKS)} + 6 AS BIGINT) AS lines FROM (SELECT 1) WHERE (SELECT count(*) FROM ({_SIDES}) WHERE v IS NOT NULL) = {len(CHECKS)}""")
-def evidence_report(spark, sf):
-    """The bundle as a JSON table and as a Markdown file in the shared folder, read back and counted."""
-    rows = materialize(spark, bundle(spark, sf), "evidence")
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+def report(checks: DataFrame) -> tuple[DataFrame, str]:
+    """The bundle as a JSON table, read back, and the path of its Markdown text beside it."""
+    spark = checks.sparkSession
+    rows = materialize(spark, checks, "evidence")
+    path = f"{shared_dir(spark)}/evidence-{uuid.uuid4().hex[:12]}"
     text = markdown(rows.orderBy("requirement").collect())  # one row a check
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}-md")
     rows.write.json(f"{path}-json")
-    lines = spark.read.text(f"{path}-md").where("value <> '' OR value = ''").agg(F.count("*").alias("lines"))
-    return spark.read.schema(rows.schema).json(f"{path}-json").agg(F.count("*").alias("checks"), F.count_if(F.col("result") != "PASS").alias("failed")).crossJoin(lines)
+    return spark.read.schema(rows.schema).json(f"{path}-json"), f"{path}-md"
+
+
+@query("evidence_bundle", f"""SELECT requirement, 'PASS' AS result, detail, v AS "left", v AS "right" FROM ({_SIDES})""")
+def evidence_bundle(spark, sf):
+    """All checks, from the report that is written of them; each passes if its two sides are the same number."""
+    return report(bundle(spark, sf))[0]
 
 
 @query("udtf_chunks", f"WITH {_ITEMS}, c AS (SELECT doc_id, n, unnest(range(0, n, {LENGTH})) AS off FROM it) SELECT doc_id, CAST(off AS BIGINT) AS off, CAST(least({LENGTH}, n - off) AS BIGINT) AS size FROM c WHERE n <= {LENGTH} OR n - off >= 16")

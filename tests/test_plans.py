@@ -160,4 +160,6 @@ def test_report_escapes_and_counts_failures():
 def test_bundle_fails_where_a_side_is_off(spark, monkeypatch):
     one = ("planted", "1; 2", lambda s, f: (s.range(1).agg(F.count("*").alias("v")), s.range(2).agg(F.count("*").alias("v"))), "SELECT 1")
     monkeypatch.setattr(evidence, "CHECKS", (one,))
-    assert [(r.result, r.left, r.right) for r in evidence.bundle(spark, SF).collect()] == [("FAIL", 1, 2)]
+    rows, text = evidence.report(evidence.bundle(spark, SF))
+    assert [(r.result, r.left, r.right) for r in rows.collect()] == [("FAIL", 1, 2)]
+    assert spark.read.text(text).where("value = '1 checks, 1 failed.'").count() == 1
