@@ -162,7 +162,7 @@ def suffix_order(raw: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tu
     """The order of raw[s : s + width] over `starts`, by prefix doubling, and which are equal to the one before in it."""
 
     def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         in_order = key[order]
         rank = np.empty(len(key), np.uint64)
         rank[order] = np.cumsum(np.concatenate(([0], (in_order[1:] != in_order[:-1]).astype(np.int64))))[: len(key)].astype(np.uint64)
@@ -177,7 +177,7 @@ def suffix_order(raw: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tu
         tail = np.concatenate((rank[have:], np.zeros(min(have, len(rank)), np.uint64)))[: len(rank)]
         rank, have = ranked(rank << np.uint64(32) | tail), have * 2
     key = rank[starts] << np.uint64(32) | rank[np.minimum(starts + width - have, max(0, len(raw) - 1))]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     return order, np.concatenate(([False], key[order][1:] == key[order][:-1]))[: len(order)]
 
 
