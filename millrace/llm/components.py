@@ -25,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
     roots = materialize(spark, roots, "roots")
     while True:
         seen = both.join(roots, both["y"] == roots["node"]).select(F.col("x").alias("node"), "root")
-        near = seen.unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+        # `old` comes along, so that a change is seen without another join.
+        known = seen.withColumn("old", F.lit(None).cast(roots.schema["root"].dataType)).unionByName(roots.withColumn("old", F.col("root")))
+        near = known.groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         up = roots.select(F.col("node").alias("via"), F.col("root").alias("higher"))
-        step = near.join(up, near["root"] == up["via"], "left").select("node", F.least("root", F.coalesce("higher", "root")).alias("root"))
+        step = near.join(up, near["root"] == up["via"], "left").select("node", F.least("root", F.coalesce("higher", "root")).alias("root"), "old")
         step = materialize(spark, step, "roots")
-        old = roots.select("node", F.col("root").alias("old"))
-        moved = step.join(old, "node").where("root <> old").limit(1).count()
-        roots = step
+        moved = step.where("root <> old").limit(1).count()
+        roots = step.drop("old")
         if not moved:
             return roots

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytehash import mix, shingles, word_hashes
@@ -45,6 +45,10 @@ CROWDED = 10
 ALONG = 512
 #: Cells of the table of frequencies by which shingles are ordered.
 CELLS = 2**20
+#: Members of a bucket that are compared to its pivot together; larger buckets are dealt in parts of about that size.
+PART = 256
+#: Sets that a task remembers, so that it signs copies once.
+MEMO = 2**18
 
 _table: np.ndarray | None = None
 
@@ -78,23 +82,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal sets in a task only the first has keys and text, so that copies don't meet with theirs in one task later."""
     press = zstandard.ZstdCompressor(level=1)
+    seen: set[bytes] = set()
     for b in batches:
         if not b.num_rows:
             continue
         own = [t or "" for t in b.column("text").to_pylist()]
         sets = shingles(*word_hashes(own))
-        full = [i for i, s in enumerate(sets) if len(s)]
-        keys: list = [[]] * len(own)
-        if full:
-            got = band_keys(np.stack([signature(sets[i]) for i in full]))
-            for i, k in zip(full, got, strict=True):
-                keys[i] = k
+        nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        firsts = []
+        for i, node in enumerate(nodes):
+            if node is not None and node not in seen:
+                seen.add(node), firsts.append(i)
+        if len(seen) > MEMO:  # a set that comes again then has keys again, which are equal
+            seen.clear()
+        keys: list = [None] * len(own)
+        packed: list = [None] * len(own)
+        if firsts:
+            got = band_keys(np.stack([signature(sets[i]) for i in firsts]))
+            for i, k in zip(firsts, got, strict=True):
+                keys[i], packed[i] = k, press.compress(own[i].encode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()),
-            ],
+            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
             ["doc_id", "n_shingles", "node", "keys", "packed"],
         )
 
@@ -132,16 +142,15 @@ def classify(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     signed = materialize(spark, texts(docs).mapInArrow(_signed, "doc_id long, n_shingles long, node binary, keys array<bigint>, packed binary"), "minhash-signed")
     full = signed.where("node IS NOT NULL")
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count("*").alias("members"))
+    firsts = full.where("keys IS NOT NULL")  # one a task for each of its sets
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     nodes = materialize(spark, nodes, "minhash-nodes")
     # Of equal sets, the row that stands for them all is any of them: keys are equal.
-    single = full.select("node", "keys").join(nodes.where("members = 1").select("node"), "node", "left_semi")
-    several = full.select("node", "keys").join(nodes.where("members > 1").select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("keys").alias("keys"))
-    keyed = single.unionByName(several).select("node", F.explode("keys").alias("key"))
+    keyed = firsts.groupBy("node").agg(F.any_value("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(spark, keyed.join(buckets, "key"), "minhash-members")  # only buckets of two or more
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    packed = full.select("node", "packed").join(degree, "node").groupBy("node").agg(F.max("packed").alias("packed"))
+    packed = firsts.select("node", "packed").join(degree, "node").groupBy("node").agg(F.max("packed").alias("packed"))
     packed = materialize(spark, packed, "minhash-packed")
     sizes = nodes.select("node", "n")
 
@@ -150,13 +159,7 @@ def classify(docs: DataFrame) -> DataFrame:
         a, b = sizes.withColumnsRenamed({"node": "a", "n": "na"}), sizes.withColumnsRenamed({"node": "b", "n": "nb"})
         return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR).select("a", "b")
 
-    def compared_to(rows: DataFrame, by) -> DataFrame:
-        """Pairs of each bucket's nodes with its pivot, the largest by `by`, if of another component."""
-        pivots = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), by).alias("p"))
-        return rows.join(pivots, "key").where("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-
-    ranked = members.join(degree, "node").withColumn("root", F.col("node"))
-    tested = materialize(spark, verified(possible(compared_to(ranked, F.struct("degree", "node"))), packed), "minhash-tested")
+    tested = materialize(spark, verified(possible(_pivoted(members.join(degree, "node"))), packed), "minhash-tested")
     roots = components(tested.where("link").select("a", "b"))
     open_ = materialize(spark, _open(members, roots), "minhash-open")
     load = open_.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"))
@@ -164,16 +167,38 @@ def classify(docs: DataFrame) -> DataFrame:
     pairs = _rest(open_.join(crowded, "key", "left_anti"), tested).unionByName(_by_rare_shingles(open_.join(crowded, "key", "left_semi"), packed))
     fresh = possible(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     more = materialize(spark, verified(fresh, packed).where("link"), "minhash-more")
+    label = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     if more.limit(1).count():
-        roots = components(tested.where("link").select("a", "b").unionByName(more.select("a", "b")))
-    named = roots.join(nodes.select("node", "least"), "node")
-    label = named.groupBy("root").agg(F.min("least").alias("component"))
+        roots, label = _joined(more, roots, nodes)
     of_node = nodes.select("node", "least").join(roots, "node", "left").join(label, "root", "left").select("node", F.coalesce("component", "least").alias("component"))
     return signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _joined(more: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Roots with nodes that only the links of `more` have, and each root's smallest id once these links join their components."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    roots = materialize(more.sparkSession, roots, "roots")
+    a, b = roots.withColumnsRenamed({"node": "a", "root": "ra"}), roots.withColumnsRenamed({"node": "b", "root": "rb"})
+    above = components(more.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    own = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("own"))
+    own = own.join(above.withColumnsRenamed({"root": "top", "node": "root"}), "root", "left").withColumn("top", F.coalesce("top", "root"))
+    least = own.groupBy("top").agg(F.min("own").alias("component"))
+    return roots, own.join(least, "top").select("root", "component")
+
+
+def _pivoted(ranked: DataFrame) -> DataFrame:
+    """Pairs of each bucket's nodes with its pivot, that of the largest degree; a large bucket's pivot goes to each part of it."""
+    parts = F.ceil(F.col("size") / PART)
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p"), F.first("size").alias("size"))
+    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    dealt = ranked.select("key", "node", F.pmod(F.xxhash64("node"), parts).alias("part"))
+    met = dealt.join(pivots, ["key", "part"]).where("node <> pivot")
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root) of buckets that hold nodes of more than one component."""
     placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

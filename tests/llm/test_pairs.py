@@ -4,6 +4,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import decontaminate, fingerprints, minhash
@@ -45,8 +46,9 @@ def test_minhash_odd_cases(spark):
     assert minhash.classify(empty_docs(spark)).count() == 0
 
 
-def test_minhash_chains_and_hubs(spark):
-    """Chains whose ends aren't linked, and copies that are linked by their base only, which isn't the smallest id."""
+@pytest.mark.parametrize("part", [minhash.PART, 8])
+def test_minhash_chains_and_hubs(spark, monkeypatch, part):
+    """Copies in parts of a bucket; chains whose ends aren't linked, and copies that are linked by their base only, which isn't the smallest id."""
     rng = random.Random(5)
     base = [f"t{rng.randrange(10**6)}" for _ in range(200)]
     rows, i = [], 0
@@ -69,7 +71,10 @@ def test_minhash_chains_and_hubs(spark):
     shared = [f"p{j}" for j in range(60)]
     for k in range(30):  # half in common: many shared buckets, no link
         add(shared + [f"q{k}_{j}" for j in range(40)], 3000 + k)
+    for k in range(30):
+        add(base, 900 + k)
     rng.shuffle(rows)
+    monkeypatch.setattr(minhash, "PART", part)
     assert found(minhash.classify(spark.createDataFrame(rows, DOCS))) == brute_components(rows)
 
 
