@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -9,6 +11,9 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_GAP = re.compile(rb"[ \t-\r]")
+#: Bytes that are hashed together; the arrays that this takes have some 60 bytes for each.
+PIECE = 2**19
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -47,16 +52,68 @@ def ranges(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lowered) and where each text's begin."""
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, in one go, and where each text's end."""
     raw = _LOWER[np.frombuffer(b"\n".join([*raws, b""]), np.uint8)]
     space = _SPACE[raw]
     start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     end = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
-    ends_at = np.cumsum([len(r) + 1 for r in raws])
-    first = np.searchsorted(start, np.concatenate(([0], ends_at)))
-    return ranges(sums(raw), start, end), first
+    return ranges(sums(raw), start, end), np.searchsorted(start, np.cumsum([len(r) + 1 for r in raws]))
+
+
+def _long_word(raw: bytes) -> np.ndarray:
+    """The hash of one word as `ranges` gives it, added up from its pieces."""
+    total = len(raw)
+    for lo in range(0, len(raw), PIECE):
+        part = _LOWER[np.frombuffer(raw[lo : lo + PIECE], np.uint8)]
+        total += int(sums(part)[-1]) * pow(_BASE, lo, 2**64)
+    return mix(np.array([total % 2**64], np.uint64))
+
+
+def _long_text(raw: bytes) -> np.ndarray:
+    """Hashes of the words of one text, in pieces that end before white space."""
+    found, at = [], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, min(len(raw), at + PIECE))
+        end = gap.start() if gap else len(raw)
+        if end - at > 2 * PIECE:
+            near = raw[at : at + PIECE]
+            word = at + 1 + max(near.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            found += [_words([raw[at:word]])[0], _long_word(raw[word:end])]
+        else:
+            found.append(_words([raw[at:end]])[0])
+        at = end
+    return np.concatenate(found)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without ASCII white space, A-Z lowered) and where each text's begin.
+
+    About PIECE bytes are hashed at a time, so that neither many long texts nor one take much memory.
+    """
+    found, first, n = [], [np.zeros(1, np.int64)], 0
+    group: list[bytes] = []
+    size = 0
+
+    def add(words: np.ndarray, ends: np.ndarray) -> None:
+        nonlocal n
+        found.append(words), first.append(n + ends)
+        n += len(words)
+
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass")
+        if group and size + len(raw) >= PIECE:
+            add(*_words(group))
+            group, size = [], 0
+        if len(raw) >= PIECE:
+            words = _long_text(raw)
+            add(words, np.array([len(words)]))
+        else:
+            group.append(raw)
+            size += len(raw) + 1
+    if group:
+        add(*_words(group))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate(first)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ CELLS = 2**20
 PART = 256
 #: Sets that a task remembers, so that it signs copies once.
 MEMO = 2**18
+#: Bytes of text that a task takes apart together, and shingles of the sets that it keeps for pairs to come.
+TOGETHER, KEPT = 2**20, 2**22
 
 _table: np.ndarray | None = None
 
@@ -81,13 +84,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _bounded(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose sizes add up to TOGETHER at most, or of one larger row: a batch is bounded in rows, not in bytes."""
+    lo, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and total + size > TOGETHER:
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal sets in a task only the first has keys and text, so that copies don't meet with theirs in one task later."""
     press = zstandard.ZstdCompressor(level=1)
     seen: set[bytes] = set()
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (part for whole in batches for part in _bounded(whole, pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False))):
         own = [t or "" for t in b.column("text").to_pylist()]
         sets = shingles(*word_hashes(own))
         nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -113,13 +126,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verification on full sets; a pivot's set is made once for a run of its pairs."""
     unpack = zstandard.ZstdDecompressor()
     memo: dict[bytes, np.ndarray] = {}
+    kept = 0
 
     def sets(node: bytes, packed: bytes) -> np.ndarray:
+        nonlocal kept
         got = memo.get(node)
         if got is None:
-            if len(memo) >= 256:
+            if len(memo) >= 256 or kept > KEPT:
                 memo.clear()
+                kept = 0
             got = memo[node] = shingles(*word_hashes([unpack.decompress(packed).decode("utf-8", "surrogatepass")]))[0]
+            kept += len(got)
         return got
 
     for b in batches:
@@ -236,8 +253,9 @@ def _across(rows: DataFrame, on: list[str]) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        if b.num_rows:
+    for whole in batches:
+        sizes = np.array([zstandard.frame_content_size(p) for p in whole.column("packed").to_pylist()], np.int64)
+        for b in _bounded(whole, sizes):
             got = shingles(*word_hashes([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()]))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in got])))
             flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))
@@ -273,7 +291,7 @@ def _by_rare_shingles(open_: DataFrame, packed: DataFrame) -> DataFrame:
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first places of each set; a shingle alone in its cell meets nobody and is left out."""
-        for b in batches:
+        for b in (part for whole in batches for part in _bounded(whole, 8 * whole.column("n").to_numpy())):
             rows: list[list] = [[] for _ in range(7)]
             for node, root, s in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("s"), strict=True):
                 s = s.values.to_numpy()

@@ -1,13 +1,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
-from millrace.llm import decontaminate, fingerprints, minhash
+from millrace.llm import bytehash, decontaminate, fingerprints, minhash
 from tests.llm.helpers import DOCS, empty_docs, odd_docs
 
 
@@ -85,6 +88,35 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 0.85) < 0.1
 
 
+def test_long_texts_are_taken_apart_in_bounded_memory():
+    """A batch is bounded in rows, so long texts (or copies that are small while packed) can meet in one."""
+    rng = random.Random(7)
+    own = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80_000)) for _ in range(25)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(50)], pa.int64()), pa.array(own + ["many words " * 15_000 + str(i) for i in range(25)])], ["doc_id", "text"])
+    press = zstandard.ZstdCompressor(level=1)
+    packed = pa.RecordBatch.from_arrays([pa.array([b"%16d" % i for i in range(50)]), pa.array([b"root"] * 50), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()])], ["node", "root", "packed"])
+    for make, given in ((minhash._signed, batch), (minhash._sets, packed)):
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in make(iter([given])))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert rows == 50
+        assert peak < 150e6  # for 8 MB of text
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1000])
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
+    rng = random.Random(9)
+    texts = ["", " \t\n", "Q" * 700, " " * 90 + "x" * 300 + "\v" + "yz" * 200 + " end"]
+    texts += ["".join(rng.choice("aBé日 \t\n\v ") for _ in range(rng.randrange(400))) for _ in range(40)]
+    whole = bytehash.word_hashes(texts)
+    monkeypatch.setattr(bytehash, "PIECE", piece)
+    cut = bytehash.word_hashes(texts)
+    assert [x.tolist() for x in cut] == [x.tolist() for x in whole]
+
+
 def brute_hits(rows, items):
     def words(t):
         t = (t or "").translate({c: chr(c + 32) for c in range(65, 91)})
