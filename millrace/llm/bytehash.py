@@ -119,9 +119,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `width` words; of fewer words, of all."""
     n = len(words)
-    run = np.zeros(max(0, n - width + 1), np.uint64)
+    runs = max(0, n - width + 1)
+    run = np.zeros(runs, np.uint64)
     for k in range(width):
-        run = run * np.uint64(_BASE) + words[k : n - width + 1 + k]
+        run = run * np.uint64(_BASE) + words[k : k + runs]
     run = mix(run)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):

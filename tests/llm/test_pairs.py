@@ -117,6 +117,31 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
     assert [x.tolist() for x in cut] == [x.tolist() for x in whole]
 
 
+def test_few_words_alone():
+    """A text that is taken apart alone has the set that it has among others."""
+    texts = ["", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"]
+    among = bytehash.shingles(*bytehash.word_hashes(texts))
+    assert [len(s) for s in among] == [0, 1, 1, 1, 1, 1, 2]
+    for text, s in zip(texts, among, strict=True):
+        assert bytehash.shingles(*bytehash.word_hashes([text]))[0].tolist() == s.tolist()
+
+
+def test_minhash_short_texts_of_one_signature(spark):
+    """Sets of one shingle have few signatures, so larger tables hold short texts that are alike in every bucket and aren't linked."""
+    first, rows = {}, []
+    for n in range(1, 5):
+        texts = [" ".join([f"a{i}", *"bcd"[: n - 1]]) for i in range(4000)]
+        for text, s in zip(texts, bytehash.shingles(*bytehash.word_hashes(texts)), strict=True):
+            other = first.setdefault((n, minhash.signature(s).tobytes()), text)
+            if other != text:
+                rows += [(len(rows), other, "en", "s", 0, 0.0, 0, ""), (len(rows) + 1, text, "en", "s", 0, 0.0, 0, "")]
+                break
+    assert [len(r[1].split()) for r in rows] == [1, 1, 2, 2, 3, 3, 4, 4]
+    df = spark.createDataFrame(rows, DOCS)
+    assert found(minhash.classify(df)) == brute_components(rows)
+    assert sorted(map(tuple, minhash.stage(spark, df, "").collect())) == rows
+
+
 def brute_hits(rows, items):
     def words(t):
         t = (t or "").translate({c: chr(c + 32) for c in range(65, 91)})
