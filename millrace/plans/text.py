@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators.ordered import hash_order, prefix_sums
 from millrace.registry import query
-from millrace.session import materialize, table
+from millrace.session import materialize, small_batches, table
 
 LANE_BUDGET, PAGE_DOCS, SAMPLE_CHARS, STUB, BAND, TURN_CAP = 200_000, 100, 50_000, 200, 1100, 6000
 
@@ -186,11 +186,21 @@ mu AS (SELECT t AS token, row_number() OVER (ORDER BY c DESC, t) - 1 AS r FROM t
 vocab AS (SELECT token, id FROM cn UNION ALL SELECT token, r + (SELECT count(*) FROM cn) FROM mu WHERE r + (SELECT count(*) FROM cn) < {VOCAB_SIZE})"""
 
 
+def token_counts(docs, *by):
+    """(*by, t, c): how often each token comes; written, so that what is made of it doesn't cut the texts again."""
+    tokens = docs.select(*by, F.explode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("t")).groupBy(*by, "t").agg(F.count("*").alias("c"))
+    return materialize(docs.sparkSession, tokens, "token-counts")
+
+
 def vocabulary(docs, size: int = VOCAB_SIZE):
     """(token, id): all single characters, then the most frequent longer tokens up to the size."""
+    return vocabulary_of(token_counts(docs), size)
+
+
+def vocabulary_of(tokens, size: int = VOCAB_SIZE):
+    """The same from counted tokens (t, c)."""
     from pyspark.sql import Window
 
-    tokens = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
     chars = tokens.select(F.explode(F.split("t", "")).alias("token")).where("token <> ''").distinct()
     # Characters are at most as many as Unicode has; of longer tokens only `size` are ever numbered.
     chars = chars.withColumn("id", F.row_number().over(Window.orderBy("token")) - 1)
@@ -214,17 +224,63 @@ x AS (SELECT doc_id, i, j, id FROM w WHERE id IS NOT NULL UNION ALL
       SELECT m.doc_id, m.i, m.j, v.id FROM (SELECT doc_id, i, unnest(range(1, length(t) + 1)) AS j, t FROM w WHERE id IS NULL) m JOIN vocab v ON v.token = substring(m.t, m.j, 1))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_ids, CAST(sum(id) AS BIGINT) AS id_sum, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, j)) AS ids_sha256 FROM x GROUP BY doc_id""")
 def fn_encode_vocab(spark, sf):
-    """A token's id if it is known, else the ids of its known characters; by a map lookup, as the vocabulary is bounded."""
+    """A token's id if it is known, else the ids of its known characters; by a dictionary, as the vocabulary is bounded.
+
+    Spark's maps are looked through entry by entry. The JVM cuts the tokens, as Python's expressions don't know the classes.
+    """
     docs = table(spark, sf, "documents")
-    vocab = vocabulary(docs).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("v"))
-    ids = F.flatten(
-        F.transform(
-            F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0)),
-            lambda t: F.when(F.map_contains_key("v", t), F.array(F.element_at("v", t))).otherwise(F.filter(F.transform(F.split(t, ""), lambda c: F.try_element_at("v", c)), lambda i: i.isNotNull())),
-        )
-    )
-    out = docs.select("doc_id", "text").crossJoin(F.broadcast(vocab)).select("doc_id", ids.alias("ids")).where(F.size("ids") > 0)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"), T.digest(F.col("ids").cast("array<string>")).alias("ids_sha256"))
+    small_batches(spark)
+    known = {r["token"]: r["id"] for r in vocabulary(docs).collect()}
+    marked = docs.where("text <> ''").select("doc_id", F.regexp_replace("text", PRETOKEN, f"$0{MARK}").alias("t"))
+    return marked.mapInArrow(lambda batches: encoded(batches, known), "doc_id long, n_ids long, id_sum long, ids_sha256 string")
+
+
+#: Ends each token on the way to Python.
+MARK = "\0"
+#: Unknown tokens whose ids a task remembers.
+MOST_SPELT = 100_000
+
+
+def cut_at_marks(t: str) -> list[str]:
+    """The tokens again. No token is empty, so two empty ones stand for a mark that the text itself holds."""
+    out = t.split(MARK)[:-1]
+    if "" in out:
+        left = iter(out)
+        out = [x if x else next(left) or MARK for x in left]
+    return out
+
+
+class _Spelt(dict):
+    """(ids joined, their sum) by token; ids of an unknown token are those of its known characters."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__({t: (str(i), i) for t, i in known.items()})
+        self.known, self.most = known, len(known) + MOST_SPELT
+
+    def __missing__(self, token: str) -> tuple[str, int]:
+        ids = [self.known[c] for c in token if c in self.known]
+        found = ",".join(map(str, ids)), sum(ids)
+        if len(self) < self.most:
+            self[token] = found
+        return found
+
+
+def encoded(batches, known: dict[str, int]):
+    import hashlib
+
+    import pyarrow as pa
+
+    spelt = _Spelt(known)
+    for batch in batches:
+        rows = []
+        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = [x for x in map(spelt.__getitem__, cut_at_marks(t.as_py())) if x[0]]
+            if found:
+                ids = ",".join([x[0] for x in found])
+                rows.append((doc_id, ids.count(",") + 1, sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest()))
+        columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        if rows:
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "id_sum", "ids_sha256"])
 
 
 def _tokens(spark, sf):
