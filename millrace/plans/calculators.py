@@ -255,5 +255,7 @@ def fn_sizes(spark, sf):
     b = (F.octet_length("text").cast("double") * F.when(k == 1, 1e3).when(k == 2, 1e6).otherwise(1.0)).alias("b")
     rows = table(spark, sf, "documents").select("doc_id", b)
     text = lambda c: c.cast("string")
-    label = F.when(F.col("b") >= 1e9, F.concat(text(F.round(F.col("b") / 1e9, 2)), F.lit(" GB"))).when(F.col("b") >= 1e6, F.concat(text(F.round(F.col("b") / 1e6, 1)), F.lit(" MB"))).when(F.col("b") >= 1e3, F.concat(text(F.floor(F.col("b") / 1e3)), F.lit(" KB"))).otherwise(F.concat(text(F.col("b").cast("long")), F.lit(" B")))
+    # To places as SQL rounds doubles: the scaled double is rounded. Spark's round to places rounds the decimal digits: 1.005 to 1.01.
+    places = lambda c, ten: F.round(c * ten) / ten
+    label = F.when(F.col("b") >= 1e9, F.concat(text(places(F.col("b") / 1e9, 100.0)), F.lit(" GB"))).when(F.col("b") >= 1e6, F.concat(text(places(F.col("b") / 1e6, 10.0)), F.lit(" MB"))).when(F.col("b") >= 1e3, F.concat(text(F.floor(F.col("b") / 1e3)), F.lit(" KB"))).otherwise(F.concat(text(F.col("b").cast("long")), F.lit(" B")))
     return rows.select("doc_id", label.alias("label"))

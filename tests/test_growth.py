@@ -58,3 +58,10 @@ def test_marks_in_tokens():
         assert cut_at_marks("".join(t + "\0" for t in tokens)) == tokens
     spelt = _Spelt({"a": 0, "b": 1, "ab": 7})
     assert [spelt[t] for t in ("ab", "ba", "axb", "x")] == [("7", 7), ("1,0", 1), ("0,1", 1), ("", 0)]
+
+
+def test_sizes_round_as_sql_does(spark, documents):
+    """1.005 and 2.675 stand below their decimal digits; so do tenths of MB."""
+    sizes = [1005, 2675, 1015, 10049, 1035, 1450, 1050, 999, 1000]
+    folder = documents([(4 * i + k, "x" * n) for i, n in enumerate(sizes) for k in range(4)])
+    assert [r for r in same_as_sql(spark, folder, "fn_sizes") if r[0] == 2] == [[2, "1.0 GB"]]
