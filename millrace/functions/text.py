@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,25 @@ NOISE = "​﻿‎‏‪‫‬‭‮­�"
 JOINERS = "‌‍"
 _STRIP = r"[ \t\n\r\x0B\f\x1c-\x1f\x85   -     　]+"
 
+#: The characters of _STRIP.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if re.match(_STRIP, c))
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def words(text) -> Column:
-    return F.filter(F.split(col(text), WHITE), lambda w: w != "")
+    return F.array_remove(F.split(col(text), WHITE), "")
+
+
+def word_count(text) -> Column:
+    """As many as `words` has, without making them."""
+    return F.regexp_count(col(text), F.lit(r"[^ \t\n\r]+")).cast("long")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_STRIP}|{_STRIP}$", "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def unescape(text: Column) -> Column:

@@ -65,3 +65,47 @@ def test_sizes_round_as_sql_does(spark, documents):
     sizes = [1005, 2675, 1015, 10049, 1035, 1450, 1050, 999, 1000]
     folder = documents([(4 * i + k, "x" * n) for i, n in enumerate(sizes) for k in range(4)])
     assert [r for r in same_as_sql(spark, folder, "fn_sizes") if r[0] == 2] == [[2, "1.0 GB"]]
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of `run` shuffle."""
+    sc = spark.sparkContext
+    gateway, store = sc._gateway, sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    spark.range(1).collect()
+    last = max(stages())
+    run()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def words_of(i, n=400):
+    return " ".join(f"word{(i * 7 + k * (1 + i % 3)) % n}" for k in range(n))
+
+
+@pytest.mark.parametrize("name", ["agg_shard_cards", "agg_lane_summary", "lm_evaluate", "fn_perplexity", "agg_token_clusters"])
+def test_losses_shuffle_no_row_for_each_word_of_a_document(spark, documents, name):
+    """Eight times the documents with the same 400 words: what is shuffled grows by less than a byte for each of a document's words."""
+    sizes = []
+    for n in (40, 320):
+        folder = documents([(i, words_of(i)) for i in range(n)], lambda i: "en" if i % 2 else "fr")
+        sizes.append(shuffled(spark, QUERIES[name](spark, folder).collect))
+    assert sizes[1] - sizes[0] < 280 * 100, sizes
+
+
+def test_losses_of_rare_words_are_joined(spark, documents):
+    """However few words are broadcast, the sums are the same."""
+    from millrace.plans.learning import _documents, document_losses
+
+    folder = documents([(i, words_of(i, 50) + f" only{i} pair{i // 2} pair{i // 2}") for i in range(30)] + [(99, "")])
+    want = {r.doc_id: (r.n, round(r.loss, 8)) for r in document_losses(_documents(spark, folder)).collect()}
+    assert len(want) == 30 and want[3][0] == 53
+    for common in (0, 20, 60, 75):
+        got = document_losses(_documents(spark, folder), common).collect()
+        assert len(got) == 30 and {r.doc_id: (r.n, round(r.loss, 8)) for r in got} == want
+    for name in ("agg_shard_cards", "lm_evaluate", "fn_perplexity"):
+        same_as_sql(spark, folder, name)
