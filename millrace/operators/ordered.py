@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 #: Ranges at most, so that the list of cuts stays small.
 MOST_RANGES = 1024
 
@@ -23,19 +25,23 @@ def cuts(df: DataFrame, order: str, n: int | None = None) -> list:
 
 
 def range_of(order: str, ends: list) -> Column:
+    """How many ends are less, by halving."""
     if not ends:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x < F.col(order)))
+    at = F.array(*map(F.lit, ends))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda n, k: F.when(F.get(at, n + k - 1) < F.col(order), n + k).otherwise(n))
 
 
 def prefix_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], n: int | None = None) -> DataFrame:
     """Adds, for each name in `sums`, the sum over the rows before this one in its group.
 
-    `order` is a total order inside a group; its first column must be numeric, and cuts the ranges.
+    `order` is a total order inside a group; its first column must be numeric, and cuts the ranges. The rows are read
+    for the cuts, for the sums of ranges and again for the result, so they are written first, and made once.
     """
-    ends = cuts(df, order[0], n)
     values = {f"_v{i}": c for i, c in enumerate(sums.values())}
-    rows = df.withColumns({**values, "_range": range_of(order[0], ends)})
+    rows = materialize(df.sparkSession, df.withColumns(values), "ordered")
+    rows = rows.withColumn("_range", range_of(order[0], cuts(rows, order[0], n)))
     totals = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(

@@ -94,8 +94,8 @@ def src_lane_sample(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", hash_order(F.lit("sample"), F.col("lang"), F.col("doc_id").cast("string")).alias("h"), F.char_length(T.strip(F.col("text"))).cast("long").alias("n")).where("n > 0")
     picked = prefix_sums(docs, ["lang"], ["h", "doc_id"], {"before": F.col("n")}).where(F.col("before") < SAMPLE_CHARS)
     taken = picked.select("doc_id", F.least("n", SAMPLE_CHARS - F.col("before")).alias("taken_chars"))
-    texts = table(spark, sf, "documents").select("doc_id", "lang", T.strip(F.col("text")).alias("t"))
-    return texts.join(taken, "doc_id").select("doc_id", "lang", "taken_chars", F.sha2(F.substring(F.col("t"), F.lit(1), F.col("taken_chars").cast("int")).cast("binary"), 256).alias("digest"))
+    texts = table(spark, sf, "documents").select("doc_id", "lang", "text").join(F.broadcast(taken), "doc_id")  # a lane has as many as characters are asked for
+    return texts.select("doc_id", "lang", "taken_chars", F.sha2(F.substring(T.strip(F.col("text")), F.lit(1), F.col("taken_chars").cast("int")).cast("binary"), 256).alias("digest"))
 
 
 @query("src_jsonl_roundtrip", "SELECT doc_id, lang, source, n_chars, sha256(text) AS digest FROM documents")

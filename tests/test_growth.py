@@ -109,3 +109,55 @@ def test_losses_of_rare_words_are_joined(spark, documents):
         assert len(got) == 30 and {r.doc_id: (r.n, round(r.loss, 8)) for r in got} == want
     for name in ("agg_shard_cards", "lm_evaluate", "fn_perplexity"):
         same_as_sql(spark, folder, name)
+
+
+def inputs(spark, run, folder):
+    """How often stages of `run` read the texts of `folder`, by the bytes read: tables made of them are far smaller here."""
+    import os
+
+    size = sum(os.path.getsize(f"{folder}/documents.parquet/{f}") for f in os.listdir(f"{folder}/documents.parquet") if f.endswith(".parquet"))
+    sc = spark.sparkContext
+    gateway, store = sc._gateway, sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.inputBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    spark.range(1).collect()
+    last = max(stages())
+    run()
+    return sum(n for k, n in stages().items() if k > last) / size
+
+
+@pytest.mark.parametrize(("name", "most"), [("lane_draw", 1), ("src_lane_sample", 2), ("win_quality_reserve", 1), ("agg_fertility_rules", 2), ("pack_verify_pieces", 1), ("pack_concat_chop", 1)])
+def test_texts_are_read_once_for_each_thing_made_of_them(spark, documents, name, most):
+    """Orders, cuts and sums of ranges come from narrow rows that are written once; a policy of packing doesn't cut the texts again."""
+    import random
+
+    dice = random.Random(7)
+    folder = documents([(i, " ".join(f"{dice.random():.12f}" for _ in range(1500)) + ".") for i in range(60)], lambda i: "en" if i % 2 else "fr")
+    assert inputs(spark, QUERIES[name](spark, folder).collect, folder) < most + 0.9
+
+
+def test_ranges_by_halving(spark):
+    from millrace.operators.ordered import range_of
+
+    for ends in ([], [3], [1, 4, 6], list(range(0, 40, 3))):
+        got = spark.range(-2, 45).select("id", range_of("id", ends).alias("r")).collect()
+        assert [r.r for r in got] == [sum(e < r.id for e in ends) for r in got]
+
+
+def test_nothing_is_ordered_twice_for_keep_rates(spark, documents):
+    """Ranks are written once, so the plan of the result sorts nothing."""
+    folder = documents([(i, f"text {i}") for i in range(200)], lambda i: "en" if i % 3 else "fr")
+    assert len(same_as_sql(spark, folder, "sel_keep_rates")) == 2
+    assert plan(QUERIES["sel_keep_rates"](spark, folder)).split("== Physical Plan ==")[1].count("Window") <= 2
+
+
+def test_groups_are_packed_as_before(spark, documents):
+    """All policies in one go, of long documents and short ones; a group of no document is none."""
+    folder = documents([(i, "w " * (i * 37 % 900)) for i in range(230)], lambda i: "en" if i % 2 else "fr")
+    assert len(same_as_sql(spark, folder, "pack_verify_pieces")) == 4
+    for name in ("pack_greedy", "pack_best_fit", "pack_structure", "pack_long_context"):
+        same_as_sql(spark, folder, name)
