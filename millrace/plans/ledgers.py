@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators.ordered import last_in, numbered, prefix_sums
 from millrace.plans.curriculum import _MM, _SCHEDULE, schedule, stage_mixture
-from millrace.plans.text import _VOCAB_SQL, PRETOKEN, TRIM, WORDS, vocabulary
+from millrace.plans.text import _VOCAB_SQL, PRETOKEN, TRIM, WORDS, token_counts, vocabulary_of
 from millrace.registry import query
 from millrace.session import materialize, table
 
@@ -193,8 +193,9 @@ SELECT lang, CAST(sum(n) AS BIGINT) AS tokens, CAST(any_value(total) - floor(any
 def tok_pools(spark, sf):
     """Pools of tokens by a vocabulary (a token, or its characters): size, validation tail, bytes a token, share of characters that had to be spelled."""
     docs = table(spark, sf, "documents")
-    vocab = vocabulary(docs)
-    uses = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("k"))  # in each task first
+    counts = token_counts(docs, "lang")
+    vocab = vocabulary_of(counts.groupBy("t").agg(F.sum("c").alias("c")))
+    uses = counts.select("lang", F.col("t").alias("token"), F.col("c").alias("k"))
     joined = uses.join(F.broadcast(vocab), "token", "left")  # of VOCAB_SIZE tokens, and the characters of Unicode at most
     spelled = F.when(F.col("id").isNull(), F.char_length("token") * F.col("k")).otherwise(0)
     n = joined.groupBy("lang").agg(F.sum(F.when(F.col("id").isNull(), F.char_length("token") * F.col("k")).otherwise(F.col("k"))).alias("n"), F.sum(spelled).alias("spelled"))
@@ -209,9 +210,11 @@ SELECT lang, round(f, 6) AS tokens_a_word, CASE WHEN f IS NULL THEN 'lane is mis
 def agg_fertility_rules(spark, sf):
     """Tokens a word by the vocabulary; a lane must be there, keep to its limit, and not exceed half as much again as the reference lane."""
     docs = table(spark, sf, "documents")
-    uses = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("token")).where(T.strip(F.col("token")) != "").groupBy("lang", "token").agg(F.count("*").alias("k"))
-    n = uses.join(F.broadcast(vocabulary(docs)), "token", "left").groupBy("lang").agg(F.sum(F.when(F.col("id").isNull(), F.char_length("token") * F.col("k")).otherwise(F.col("k"))).alias("tokens"))
-    words = docs.groupBy("lang").agg(F.sum(F.size(T.words("text")).cast("long")).alias("words"))
+    counts = token_counts(docs, "lang")  # the vocabulary is made from them too
+    vocab = vocabulary_of(counts.groupBy("t").agg(F.sum("c").alias("c")))
+    uses = counts.where(~F.col("t").isin(" ", "\t", "\n", "\r")).select("lang", F.col("t").alias("token"), F.col("c").alias("k"))  # white space comes a character a token
+    n = uses.join(F.broadcast(vocab), "token", "left").groupBy("lang").agg(F.sum(F.when(F.col("id").isNull(), F.char_length("token") * F.col("k")).otherwise(F.col("k"))).alias("tokens"))
+    words = docs.groupBy("lang").agg(F.sum(T.word_count("text")).alias("words"))
     f = n.join(words, "lang").select("lang", (F.col("tokens") / F.greatest(F.lit(1).cast("long"), F.col("words"))).alias("f"))
     limits = F.broadcast(spark.createDataFrame([(k,) for k in _LIMITS], "lang string")).join(f, "lang", "left").crossJoin(F.broadcast(f.where("lang = 'en'").agg(F.max("f").alias("ref"))))
     verdict = F.when(F.col("f").isNull(), "lane is missing").when(F.col("f") > 9, "over its limit").when((F.col("lang") != "en") & (F.col("f") > 1.5 * F.col("ref")), "over the reference lane").otherwise("ok")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from millrace.functions import text as T
 from millrace.operators.ordered import prefix_sums
 from millrace.plans.text import WORDS
 from millrace.registry import query
-from millrace.session import table
+from millrace.session import materialize, small_batches, table
 
 LENGTH, LEAST_TAIL, GROUP = 256, 16, 100
 
@@ -18,7 +21,7 @@ _ITEMS = f"it AS (SELECT doc_id, lang, n FROM (SELECT doc_id, lang, len({WORDS})
 
 
 def items(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang", F.size(T.words("text")).cast("long").alias("n")).where("n > 0")
+    return table(spark, sf, "documents").select("doc_id", "lang", T.word_count("text").alias("n")).where("n > 0")
 
 
 _STREAM = f"""st AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY doc_id) - n AS lo FROM it),
@@ -80,16 +83,26 @@ def fill(sizes: list[int], policy: str, length: int = LENGTH) -> list[int]:
             room.append(space)
             left = rest
         return bins
-    open_: list[int] = []  # bins that have room left, in order
+    if policy == "greedy":
+        open_: list[int] = []  # bins that have room left, in order
+        for i in order:
+            b = next((b for b in open_ if room[b] >= sizes[i]), len(room))
+            if b == len(room):
+                room.append(length)
+                open_.append(b)
+            room[b] -= sizes[i]
+            if not room[b]:
+                open_.remove(b)
+            bins[i] = b
+        return bins
+    left_in: list[tuple[int, int]] = []  # (room, bin) of those that have room left, sorted
+    n = 0
     for i in order:
-        fits = [b for b in open_ if room[b] >= sizes[i]]
-        b = fits[0] if fits and policy == "greedy" else min(fits, key=lambda b: (room[b], b)) if fits else len(room)
-        if b == len(room):
-            room.append(length)
-            open_.append(b)
-        room[b] -= sizes[i]
-        if not room[b]:
-            open_.remove(b)
+        at = bisect_left(left_in, (sizes[i], -1))
+        space, b = left_in.pop(at) if at < len(left_in) else (length, n)
+        n = max(n, b + 1)
+        if space > sizes[i]:
+            insort(left_in, (space - sizes[i], b))
         bins[i] = b
     return bins
 
@@ -102,20 +115,36 @@ def packed(docs: DataFrame, policy: str) -> DataFrame:
     bin of their own, behind the others.
     """
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "off"]).reset_index(drop=True)
-        rows["tokens"], rows["truncated"] = rows["n"].clip(upper=LENGTH), rows["n"] > LENGTH
-        if policy == "structure":
-            long = rows["n"] > LENGTH
-            short = fill(rows.loc[~long, "tokens"].tolist(), "best_fit")
-            rows.loc[~long, "bin"] = short
-            rows.loc[long, "bin"] = [max(short, default=-1) + 1 + k for k in range(int(long.sum()))]
-        else:
-            rows["bin"] = fill(rows["tokens"].tolist(), policy)
-        return rows.assign(grp=key[1], bin=rows["bin"].astype("int64"))[["lang", "grp", "bin", "doc_id", "off", "tokens", "truncated"]]
+    return packed_by(docs, (policy,)).drop("policy")
+
+
+def bins_of(sizes: list[int], policy: str) -> list[int]:
+    if policy != "structure":
+        return fill([min(n, LENGTH) for n in sizes], policy)
+    short = [i for i, n in enumerate(sizes) if n <= LENGTH]
+    bins = dict(zip(short, fill([sizes[i] for i in short], "best_fit")))
+    after = max(bins.values(), default=-1) + 1
+    for k, i in enumerate(i for i, n in enumerate(sizes) if n > LENGTH):
+        bins[i] = after + k
+    return [bins[i] for i in range(len(sizes))]
+
+
+def packed_by(docs: DataFrame, policies: tuple[str, ...]) -> DataFrame:
+    """policy and the columns of `packed`, of several policies at once: a group is brought together once for all of them."""
+    schema = pa.schema([("policy", pa.string()), ("lang", pa.string()), *((c, pa.int64()) for c in ("grp", "bin", "doc_id", "off", "tokens")), ("truncated", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, grp, ids, offs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                n, tokens = len(sizes), [min(x, LENGTH) for x in sizes]
+                for policy in policies:
+                    columns = [policy] * n, [lang] * n, [grp] * n, bins_of(sizes, policy), ids, offs, tokens, [x > LENGTH for x in sizes]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    grouped = docs.withColumn("grp", F.floor(F.col("doc_id") / GROUP)).groupBy("lang", "grp")
-    return grouped.applyInPandas(one, "lang string, grp long, bin long, doc_id long, off long, tokens long, truncated boolean")
+    small_batches(docs.sparkSession)
+    grouped = docs.withColumn("grp", F.floor(F.col("doc_id") / GROUP)).groupBy("lang", "grp").agg(F.array_sort(F.collect_list(F.struct("doc_id", "off", "n"))).alias("m"))
+    rows = grouped.select("lang", "grp", "m.doc_id", "m.off", "m.n")
+    return rows.mapInArrow(run, "policy string, lang string, grp long, bin long, doc_id long, off long, tokens long, truncated boolean")
 
 
 POLICIES = ("greedy", "best_fit", "structure", "long_context")
@@ -131,14 +160,12 @@ def pack_verify_pieces(spark, sf):
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    out = None
-    for policy in POLICIES:
-        rows = packed(docs, policy)
-        bins = rows.groupBy("lang", "grp", "bin").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.count_if("truncated").alias("truncated"))
-        twice = rows.groupBy("doc_id", "off").count().where("count > 1").agg(F.count("*").alias("placed_twice"))
-        one = bins.agg(F.lit(policy).alias("policy"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > LENGTH).alias("over_full"), F.sum("truncated").alias("truncated")).crossJoin(twice)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = materialize(docs.sparkSession, packed_by(docs, POLICIES), "packed")
+    bins = rows.groupBy("policy", "lang", "grp", "bin").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.count_if("truncated").alias("truncated"))
+    sums = bins.groupBy("policy").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > LENGTH).alias("over_full"), F.sum("truncated").alias("truncated"))
+    twice = rows.groupBy("policy", "doc_id", "off").count().groupBy("policy").agg(F.count_if(F.col("count") > 1).alias("placed_twice"))
+    every = docs.sparkSession.createDataFrame([(p,) for p in POLICIES], "policy string")  # a row each, whatever they were given
+    return F.broadcast(every).join(sums.join(twice, "policy"), "policy", "left").na.fill(0, ["over_full", "placed_twice"])
 
 
 @query("agg_utilisation", f"""
