@@ -45,6 +45,8 @@ def nfc(text: Column) -> Column:
 
 
 _EDGES = _STRIP.replace("\\n", "")
+#: The first is the plain space.
+_SPACES = r"[ \t\u00A0\u2000-\u200A\u3000]"
 
 
 def normalize(text) -> Column:
@@ -53,11 +55,10 @@ def normalize(text) -> Column:
     Costly: name it in a projection of its own (`with_normal`) where more than one column is made from it.
     """
     t = nfc(unescape(col(text)))
-    t = F.translate(t, NOISE, "")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, r"[ \t\u00A0\u2000-\u200A\u3000]+", " ")
+    t = F.regexp_replace(t, f"[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f{NOISE}]", "")
+    t = F.regexp_replace(t, f"{_SPACES}{{2,}}|{_SPACES[:1] + _SPACES[2:]}", " ")  # a single space stays as it is
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(t, f"(?<=\n){_EDGES}|{_EDGES}(?=\n)", ""))
+    return strip(F.regexp_replace(t, f"(?={_EDGES[:-1]})(?:(?<=\n){_EDGES}|{_EDGES}(?=\n))", ""))
 
 
 def with_normal(df: DataFrame, text: str = "text", name: str = "t") -> DataFrame:
@@ -79,6 +80,13 @@ def ngrams(items: str, n: int = 8, stride: int = 4) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " ")))
 
 
+def gram_hashes(hashes: str, n: int = 8, stride: int = 4) -> Column:
+    """The distinct runs of `ngrams` as 64-bit hashes, from a column of the items' hashes: no run is spelled out."""
+    many = F.size(hashes)
+    starts = F.when(many >= n, F.sequence(F.lit(1), many - (n - 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, n))))
+
+
 def script(token: Column) -> Column:
     """By the first character that is no space."""
     # Spark's ascii() gives the code point of the first character.

@@ -36,9 +36,9 @@ def with_copies(spark, sf) -> DataFrame:
 
 
 def fingerprint_sets(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
-    """(key, g): the distinct 8-grams of each row's words as 64-bit hashes. Words and grams are each made once."""
-    worded = df.select(F.col(key), T.words("text").alias("w"))
-    return worded.select(key, F.transform(T.ngrams("w", 8, stride), lambda x: F.xxhash64(x)).alias("g"))
+    """(key, g): the distinct 8-grams of each row's words as 64-bit hashes. Words are hashed once, and grams from those hashes."""
+    worded = df.select(F.col(key), F.transform(T.words("text"), lambda x: F.xxhash64(x)).alias("w"))
+    return worded.select(key, T.gram_hashes("w", 8, stride).alias("g"))
 
 
 def exploded(sets: DataFrame, key: str) -> DataFrame:
@@ -55,21 +55,23 @@ def fingerprints(df: DataFrame, key: str, stride: int = 4) -> DataFrame:
     return exploded(fingerprint_sets(df, key, stride), key)
 
 
-def near_pairs(docs: DataFrame, least: float = NEAR, stride: int = 4) -> DataFrame:
+def near_pairs(docs: DataFrame, least: float = NEAR, stride: int = 4, first: DataFrame | None = None) -> DataFrame:
     """(a, b, shared, jaccard), a < b, of documents of different texts whose fingerprints are alike.
 
-    Documents of one text are one node (the first of them), so copies don't pair off. A document's grams are
+    Documents of one text are one node (the first of them), so copies don't pair off; `first` (doc_id) names them where they are known. A document's grams are
     ordered by rarity; two sets of similarity `least` share one of their first size - ceil(least * size) + 1
     grams, so only those are joined (prefix filter), and common passages rarely are among them. Pairs that meet are
     compared once, on both sets as arrays.
     """
-    first = docs.groupBy(F.xxhash64("text").alias("h"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    if first is None:
+        first = docs.groupBy(F.xxhash64("text").alias("h"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sets = materialize(docs.sparkSession, fingerprint_sets(docs.join(first, "doc_id", "left_semi"), "doc_id", stride), "grams")
     grams = exploded(sets, "doc_id")
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     ranked = grams.join(often, "gram").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram")))
     lonely = F.col("size") - F.count("*").over(Window.partitionBy("doc_id"))  # grams that no other has come before all
     prefix = ranked.withColumn("lonely", lonely).where(F.col("place") + F.col("lonely") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("doc_id", "gram", "size")
+    prefix = materialize(docs.sparkSession, prefix, "prefix-grams")
     a, b = prefix.alias("a"), prefix.alias("b")
     sizes = (F.col("b.size") >= F.col("a.size") * least) & (F.col("a.size") >= F.col("b.size") * least)
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") < F.col("b.doc_id")) & sizes).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
@@ -130,12 +132,16 @@ sh2 AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM co
 SELECT doc_id, CASE WHEN f <> doc_id THEN 'exact' WHEN f IN (SELECT node FROM o) AND f NOT IN (SELECT node FROM kk) THEN 'near' ELSE 'kept' END AS verdict FROM sh2""")
 def dedup_greedy(spark, sf):
     """First seen wins: exact copies go, then what is near an earlier kept document."""
-    docs = with_copies(spark, sf)
-    state = greedy(near_pairs(docs))
-    hashed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return verdicts(with_copies(spark, sf)).select("doc_id", "verdict")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, verdict. Texts are read twice: for their hashes and for their grams."""
+    hashed = materialize(docs.sparkSession, docs.select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "hashed")
     first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    state = greedy(near_pairs(docs, first=first.select(F.col("first").alias("doc_id"))))
     rows = hashed.join(first, "sha").join(state.withColumnRenamed("node", "first"), "first", "left")
-    return rows.select("doc_id", F.when(F.col("doc_id") != F.col("first"), "exact").when(~F.coalesce("kept", F.lit(True)), "near").otherwise("kept").alias("verdict"))
+    return rows.select("doc_id", "lang", F.when(F.col("doc_id") != F.col("first"), "exact").when(~F.coalesce("kept", F.lit(True)), "near").otherwise("kept").alias("verdict"))
 
 
 @query("agg_dedup_report", f"""
@@ -149,7 +155,7 @@ v AS (SELECT lang, CASE WHEN f <> doc_id THEN 'exact' WHEN f IN (SELECT node FRO
 SELECT lang, CAST(count(*) AS BIGINT) AS samples_in, CAST(count_if(verdict = 'kept') AS BIGINT) AS samples_kept, CAST(count_if(verdict = 'exact') AS BIGINT) AS exact, CAST(count_if(verdict = 'near') AS BIGINT) AS near FROM v GROUP BY lang""")
 def agg_dedup_report(spark, sf):
     verdict = F.col("verdict")
-    rows = dedup_greedy(spark, sf).join(with_copies(spark, sf).select("doc_id", "lang"), "doc_id")
+    rows = verdicts(with_copies(spark, sf))
     return rows.groupBy("lang").agg(F.count("*").alias("samples_in"), F.count_if(verdict == "kept").alias("samples_kept"), F.count_if(verdict == "exact").alias("exact"), F.count_if(verdict == "near").alias("near"))
 
 
@@ -166,10 +172,16 @@ def same_text(docs: DataFrame, held: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).join(items, "sha").select("doc_id", "item_id")
 
 
+#: Grams of held-out items that go to every task.
+MOST_HELD = 1_000_000
+
+
 def screened(docs: DataFrame, held: DataFrame, stride: int) -> DataFrame:
     """(doc_id, item_id, shared, n_doc, n_item) of documents and items with a gram in common."""
     d = fingerprints(docs, "doc_id", stride).withColumnRenamed("size", "n_doc")
-    h = fingerprints(held, "item_id", stride).withColumnRenamed("size", "n_item")
+    h = materialize(docs.sparkSession, fingerprints(held, "item_id", stride).withColumnRenamed("size", "n_item"), "held-out-grams")
+    if h.limit(MOST_HELD + 1).count() <= MOST_HELD:
+        h = F.broadcast(h)  # grams of documents stay where they are made; of more items than that they are shuffled
     return d.join(h, "gram").groupBy("doc_id", "item_id", "n_doc", "n_item").agg(F.count("*").alias("shared"))
 
 
@@ -260,9 +272,10 @@ def agg_screening(spark, sf):
 
 
 @query("screen_clean", f"WITH {_HITS} SELECT doc_id, lang FROM documents ANTI JOIN hit USING (doc_id)")
-def screen_clean(spark, sf):
-    """What screening lets through."""
-    return table(spark, sf, "documents").select("doc_id", "lang").join(screen_containment(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti")
+def screen_clean(spark, sf, hits: DataFrame | None = None):
+    """What screening lets through; `hits` are those of screen_containment where they are at hand."""
+    hits = screen_containment(spark, sf) if hits is None else hits
+    return table(spark, sf, "documents").select("doc_id", "lang").join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 SHARD_DOCS = 100
@@ -344,9 +357,9 @@ def fn_loss_mask(spark, sf):
 @query("verify_shards", f"""
 WITH {_MANIFEST}, t AS (SELECT *, CAST(('0x' || left(sha256('spoil:' || shard_id), 4)) AS BIGINT) AS k FROM mf)
 SELECT shard_id, CASE WHEN k % 13 = 0 THEN 'missing' WHEN k % 7 = 0 THEN 'hash mismatch' WHEN k % 11 = 0 THEN 'token count' ELSE 'ok' END AS verdict FROM t""")
-def verify_shards(spark, sf):
-    """Recounts shards against a manifest that was tampered with on purpose: hashes, counts, missing files."""
-    now = materialize(spark, manifests(table(spark, sf, "documents")), "manifests")
+def verify_shards(spark, sf, now: DataFrame | None = None):
+    """Recounts shards (or takes what was counted: `now`) against a manifest that was tampered with on purpose: hashes, counts, missing files."""
+    now = materialize(spark, manifests(table(spark, sf, "documents")), "manifests") if now is None else now
     k = F.conv(F.substring(F.sha2(F.concat(F.lit("spoil:"), "shard_id").cast("binary"), 256), 1, 4), 16, 10).cast("long")  # which entries are spoilt
     claimed = now.withColumn("k", k).select("shard_id", F.when(F.col("k") % 7 == 0, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("claimed_hash"), F.when(F.col("k") % 11 == 0, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")).alias("claimed_tokens"), "k")
     on_disk = now.where(k % 13 != 0)
@@ -373,12 +386,12 @@ def admission(manifest: DataFrame) -> DataFrame:
     return manifest.select("shard_id", "n_tokens", "eval_overlap", (F.size(failed) == 0).alias("admitted"), F.array_join(failed, "; ").alias("reasons"))
 
 
-def gated(spark, sf) -> DataFrame:
+def gated(spark, sf, manifest: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     h = F.conv(F.substring(F.sha2(F.col("shard_id").cast("binary"), 256), 1, 2), 16, 10).cast("int")
     docs = table(spark, sf, "documents")
-    hits = screen_containment(spark, sf).select("doc_id").distinct()
+    hits = (screen_containment(spark, sf) if hits is None else hits).select("doc_id").distinct()
     overlap = docs.select(shard_of().alias("shard_id"), "doc_id").join(hits, "doc_id", "left_semi").groupBy("shard_id").agg(F.count("*").alias("eval_overlap"))
-    m = manifests(docs).join(overlap, "shard_id", "left").na.fill(0, ["eval_overlap"]).withColumn("h", h)
+    m = (manifests(docs) if manifest is None else manifest).join(overlap, "shard_id", "left").na.fill(0, ["eval_overlap"]).withColumn("h", h)
     return admission(
         m.select(
             "shard_id", "n_tokens", "eval_overlap", F.when(F.col("h") % 13 != 0, F.col("content_hash")).alias("content_hash"), F.element_at(F.array(*map(F.lit, "ABBD")), F.col("h") % 4 + 1).alias("license_tier"), F.when(F.col("h") % 5 == 0, "old").otherwise("tok").alias("tokenizer_hash"), F.when(F.col("h") % 9 != 0, "clean").alias("cleaning_hash"),
@@ -394,9 +407,9 @@ def gate_admission(spark, sf):
 
 @query("registry_events", f"""
 WITH {_GATE_SQL} SELECT CAST(row_number() OVER (ORDER BY CAST(right(shard_id, 4) AS BIGINT), shard_id) - 1 AS BIGINT) AS event, shard_id, CASE WHEN admitted THEN 'admit' ELSE 'block' END AS kind, reasons AS detail FROM gate""")
-def registry_events(spark, sf):
+def registry_events(spark, sf, manifest: DataFrame | None = None, hits: DataFrame | None = None):
     """The gate's log, in order: one event a shard."""
-    log = gated(spark, sf).withColumn("at", F.right(F.col("shard_id"), F.lit(4)).cast("long"))
+    log = gated(spark, sf, manifest, hits).withColumn("at", F.right(F.col("shard_id"), F.lit(4)).cast("long"))
     return numbered(log.withColumn("all", F.lit(0)), ["all"], ["at", "shard_id"], "n").select((F.col("n") - 1).alias("event"), "shard_id", F.when(F.col("admitted"), "admit").otherwise("block").alias("kind"), F.col("reasons").alias("detail"))
 
 
